@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup, substring_dedup
+from . import language_id, near_dedup, storage, substring_dedup, token_records
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +23,30 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Naive Bayes language of all documents, learnt from four fifths of them."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang", language_id.held_out("doc_id", 5, 0).alias("held_out"))
+    model = language_id.train(docs.filter("not held_out"))
+    return language_id.predict(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token records, read back from the files."""
+    base = storage.workspace(spark, "records")
+    return token_records.read(token_records.write(_documents(spark, sf_dir), base, tokenizer_path("byte_bpe_50k.json")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_dedup": op5_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_language_id": op7_language_id,
+    "op8_token_records": op8_token_records,
 }
 ORACLE_SQL: dict[str, str] = {}

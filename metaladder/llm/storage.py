@@ -71,7 +71,7 @@ def filesystem(uri: str):
 class TaskFile:
     """A file that a task writes under the workspace: complete under its final name or absent.
 
-    The name carries the task attempt, so a retried task never touches another attempt's file,
+    The name is new for every attempt, so a retried task never touches another attempt's file,
     and only files named in the rows of successful tasks are ever read.
     """
 

@@ -170,3 +170,9 @@ def lists(values: np.ndarray, at: np.ndarray, kind: pa.DataType) -> pa.ListArray
 def binaries(raw: np.ndarray, at: np.ndarray) -> pa.Array:
     """A binary column from flat bytes and offsets in bytes."""
     return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(at, np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])
+
+
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions of many runs (start, size), one after another."""
+    end = np.cumsum(size)
+    return np.repeat(start - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)
