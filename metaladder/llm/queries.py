@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, near_dedup, storage, substring_dedup, token_records
+from . import language_id, near_dedup, storage, substring_dedup, token_records, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to compressed WARC archives and read back."""
+    base = storage.workspace(spark, "warc")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.read(warc.write(pages, base), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-permutation MinHash near-duplicates of all documents."""
     return near_dedup.near_duplicates(_documents(spark, sf_dir))
@@ -44,6 +51,7 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_warc": op3_warc,
     "op5_near_dedup": op5_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_language_id": op7_language_id,
