@@ -23,14 +23,14 @@ def connected_components(edges: DataFrame, base: str) -> DataFrame:
     while True:
         turn += 1
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).union(now.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        least = storage.materialise(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), base, f"least-{turn}")
         large = both.join(least, "x").filter("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         small = small.union(lowest.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         now = storage.materialise(small, base, f"edges-{turn}")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        storage.drop(spark, f"{base}/edges-{turn - 1}")
+        storage.drop(spark, f"{base}/edges-{turn - 1}", f"{base}/least-{turn}")
         if state == seen:
             break
         seen = state

@@ -143,10 +143,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     pairs = storage.materialise(stars.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct(), base, "pairs")
     storage.drop(spark, f"{base}/hubs")
 
+    # Merge joins at every size: what is small here grows with the corpus.
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = texts.withColumnRenamed("doc_id", "id").join(ends, "id", "left_semi")
+    wanted = texts.withColumnRenamed("doc_id", "id").join(ends.hint("merge"), "id", "left_semi")
     sets = storage.materialise(wanted.mapInArrow(_sets(shingle), "id long, items binary"), base, "sets")
-    met = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("items_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("items").alias("items_a")), "a")
+    sets_a, sets_b = (sets.select(F.col("id").alias(x), F.col("items").alias(f"items_{x}")).hint("merge") for x in "ab")
+    met = pairs.join(sets_b, "b").join(sets_a, "a")
     links = storage.materialise(met.select("a", "b", "items_a", "items_b").mapInArrow(_confirm(percent), "a long, b long"), base, "links")
     storage.drop(spark, f"{base}/sets")
 
