@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import language_id, near_dedup, storage, substring_dedup, token_records, warc
+from . import language_id, mixing, near_dedup, storage, substring_dedup, token_records, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +21,12 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(pages, base), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draw from all documents towards tempered shares of sources, languages and topics."""
+    mixed = mixing.mix(_documents(spark, sf_dir))
+    return mixed.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), "topic", "n_tokens", F.round("probability", 6).alias("probability"), "selected")
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-permutation MinHash near-duplicates of all documents."""
     return near_dedup.near_duplicates(_documents(spark, sf_dir))
@@ -52,9 +59,10 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
+    "op4_mixing": op4_mixing,
     "op5_near_dedup": op5_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_language_id": op7_language_id,
     "op8_token_records": op8_token_records,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.oracle()}
