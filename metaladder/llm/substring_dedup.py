@@ -2,14 +2,17 @@
 
 A window is ``length`` consecutive words of one document. A word goes if a window covers it
 whose words also start earlier (smaller id, or same document and earlier start). The result
-is exact (up to 96-bit hash collisions) and has no limit on how often a passage occurs:
+is exact up to collisions of 64-bit window hashes, and a passage may occur any number of
+times:
 
-1. Every window is represented by its least ``GRAM``-word hash (winnowing, Schleimer et al.
+1. A document whose whole text occurs earlier, by a 128-bit digest, loses all its words if
+   it has a window at all, and takes no further part: it is never where something is first.
+2. Every window is represented by its least ``GRAM``-word hash (winnowing, Schleimer et al.
    2003): equal windows have equal anchors, and about two positions in
    ``length - GRAM + 2`` are anchors. Only anchors that occur twice can belong to a repeat.
-2. The windows over such anchors are hashed whole and grouped; the first of each group
-   stays, the others are hits.
-3. Each document meets its hits and drops the covered words.
+3. The windows over such anchors are hashed whole. Repeats inside a document are settled
+   there; across documents the smallest id of each hash stays, the others are hits.
+4. Each document meets its hits and drops the covered words.
 
 Suffix automata (``automaton.py``) serve the bounded case, a given reference: see there.
 """
@@ -30,8 +33,8 @@ from . import textops as T
 LENGTH, GRAM = 20, 6
 LOW = np.uint64((1 << 24) - 1)
 
-ANCHORS = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32())])
-WINDOWS = pa.schema([("window", pa.int64()), ("check", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int32())])
+SKETCHES = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("anchors", pa.list_(pa.int64()))])
+WINDOWS = pa.schema([("window", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32())])
 
 
 def anchors(words: T.Words, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,19 +57,18 @@ def anchors(words: T.Words, length: int, gram: int) -> tuple[np.ndarray, np.ndar
     return at, (least[at] & LOW).astype(np.int64), g
 
 
-def _anchors(length: int, gram: int):
+def _sketches(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in T.slices(whole, "text"):
-                words = T.Words(*T.buffers(b.column("text")))
+                raw, at = T.buffers(b.column("text"))
+                words = T.Words(raw, at)
                 _, position, g = anchors(words, length, gram)
                 position = np.unique(position)
-                row, value = words.row[position], g[position]
-                order = np.lexsort((value, row))
-                row, value = row[order], value[order]
-                new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (value[1:] != value[:-1])])) if len(row) else np.zeros(0, np.int64)
-                ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-                yield T.columns(ANCHORS, anchor=value[new].view(np.int64), doc_id=ids[row[new]], n=np.diff(np.append(new, len(row))))
+                ends = np.searchsorted(words.row[position], np.arange(b.num_rows + 1))
+                data = raw.tobytes()
+                digests = [hashlib.blake2b(data[lo:hi], digest_size=16).digest() for lo, hi in zip(at[:-1], at[1:])]
+                yield T.columns(SKETCHES, doc_id=b.column("doc_id"), digest=pa.array(digests, pa.binary()), anchors=T.lists(g[position].view(np.int64), ends, pa.int64()))
 
     return run
 
@@ -85,11 +87,13 @@ def _windows(length: int, gram: int):
                 probe = T.mix(g[position] + T.mix(words.row[at].astype(np.uint64)))
                 hit = known[np.minimum(np.searchsorted(known, probe), max(0, len(known) - 1))] == probe if len(known) else np.zeros(len(at), bool)
                 at = at[hit]
-                whole_hash = T.grams(words.hash, length)
+                value, row = T.grams(words.hash, length)[at], words.row[at]
+                order = np.lexsort((at, value, row))
+                at, value, row = at[order], value[order], row[order]
+                again = np.zeros(len(at), bool)
+                again[1:] = (value[1:] == value[:-1]) & (row[1:] == row[:-1])
                 ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-                row = words.row[at]
-                check = T.grams(T.mix(words.hash + np.uint64(0x1D)), length)[at]
-                yield T.columns(WINDOWS, window=whole_hash[at].view(np.int64), check=(check >> np.uint64(32)).astype(np.uint32).view(np.int32), doc_id=ids[row], start=(at - words.first[row]).astype(np.int32))
+                yield T.columns(WINDOWS, window=pa.array(value.view(np.int64), mask=again), doc_id=ids[row], start=(at - words.first[row]).astype(np.int32))
 
     return run
 
@@ -121,6 +125,8 @@ def _remove(length: int):
                 np.add.at(delta, first, 1)
                 np.add.at(delta, first + length, -1)
                 gone = np.cumsum(delta)[:-1] > 0
+                copy = b.column("copy").fill_null(False).to_numpy(zero_copy_only=False) & (np.diff(words.first) >= length)
+                gone |= copy[words.row]
                 removed = np.concatenate([[0], np.cumsum(gone)])
                 keep = np.flatnonzero(~gone)
                 # Kept words joined by one blank: copy each word with the byte after it.
@@ -155,19 +161,25 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -
     spark = docs.sparkSession
     base = storage.workspace(spark, "repeats")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = storage.materialise(texts.mapInArrow(_anchors(length, gram), "anchor long, doc_id long, n int"), base, "anchors")
-    twice = storage.materialise(found.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor"), base, "twice")
-    seen = found.join(twice, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("seen"))
+    sketches = storage.materialise(texts.mapInArrow(_sketches(length, gram), "doc_id long, digest binary, anchors array<long>"), base, "sketches")
+    groups = sketches.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id < last_id")
+    groups = storage.materialise(groups.select("digest", "first_id"), base, "groups")
+    copies = storage.materialise(sketches.select("doc_id", "digest").join(groups, "digest").filter("doc_id > first_id").select("doc_id").distinct(), base, "copies")
+    found = sketches.select("doc_id", "anchors").join(copies.hint("merge"), "doc_id", "left_anti").select("doc_id", F.explode("anchors").alias("anchor"))
+    twice = storage.materialise(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), base, "twice")
+    seen = found.join(twice.hint("merge"), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("seen"))
     seen = storage.materialise(seen.mapInArrow(_pack, "doc_id long, seen binary"), base, "seen")
-    storage.drop(spark, f"{base}/anchors", f"{base}/twice")
+    storage.drop(spark, f"{base}/sketches", f"{base}/twice", f"{base}/groups")
 
-    windows = texts.join(seen, "doc_id").mapInArrow(_windows(length, gram), "window long, check int, doc_id long, start int")
+    windows = texts.join(seen.hint("merge"), "doc_id").mapInArrow(_windows(length, gram), "window long, doc_id long, start int")
     windows = storage.materialise(windows, base, "windows")
     storage.drop(spark, f"{base}/seen")
-    key = ["window", "check"]
-    first = windows.groupBy(*key).agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key, "first.*")
-    first = storage.materialise(first.withColumnsRenamed({"doc_id": "first_id", "start": "first_start"}), base, "first")
-    later = windows.join(first, key).filter("doc_id <> first_id or start <> first_start")
-    hits = storage.materialise(later.groupBy("doc_id").agg(F.collect_set("start").alias("starts")), base, "hits")
-    storage.drop(spark, f"{base}/windows", f"{base}/first")
-    return texts.join(hits, "doc_id", "left").mapInArrow(_remove(length), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    across = windows.filter("window is not null")
+    first = across.groupBy("window").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id < last_id").select("window", "first_id")
+    first = storage.materialise(first, base, "first")
+    later = across.join(first.hint("merge"), "window").filter("doc_id > first_id").select("doc_id", "start")
+    hits = later.union(windows.filter("window is null").select("doc_id", "start")).groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
+    hits = storage.materialise(hits.unionByName(copies.select("doc_id", F.lit(None).cast("array<int>").alias("starts"))).withColumn("hit", F.lit(True)), base, "hits")
+    storage.drop(spark, f"{base}/windows", f"{base}/first", f"{base}/copies")
+    marked = texts.join(hits.hint("merge"), "doc_id", "left").select("doc_id", "text", "starts", (F.col("hit") & F.col("starts").isNull()).alias("copy"))
+    return marked.mapInArrow(_remove(length), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
