@@ -1,36 +1,39 @@
 """Byte-level BPE ids of whole texts through the tokenizers library, each distinct unit once.
 
-The byte-level pre-tokenizer always begins a token at a blank that stands between two
-characters that are not white space, so text may be cut there without changing its ids. The
-units between such cuts repeat a lot; each distinct one is encoded once per task.
+The byte-level pre-tokenizer always begins a token at a blank or line end that stands between
+two characters that are not white space, and where a mark such as a full stop follows a
+letter. Text may be cut there without changing its ids. The units between such cuts repeat a
+lot: each distinct one is encoded once and remembered by the worker process. Texts with runs
+of white space, white space at an end or NUL characters are encoded whole.
 """
 
 from __future__ import annotations
 
-import re
+from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from . import textops as T
 
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-_LOOSE = re.compile(r" \s|\s |\x00")
+_SPACE = r"[\s\x1c-\x1f\x{85}\p{Z}]"
+_LOOSE = f"{_SPACE}{{2}}|^{_SPACE}|{_SPACE}$|\\x00"
+_MARK = r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}])([.,!%*&$#])"
+_LINE = "\n"
 
-#: Distinct units that a task remembers; the memory is cleared beyond that.
-REMEMBERED = 400_000
+#: Distinct units that a worker process remembers; the memory is emptied beyond that.
+REMEMBERED = 2_000_000
 
 
-def units(text: str) -> list[str]:
-    """The text cut into independent units; joined they give the text again."""
-    if not text:
-        return []
-    if _LOOSE.search(text):
-        return _CUT.split(text)
-    return text.replace(" ", "\0 ").split("\0") if text[0] != " " else text.replace(" ", "\0 ")[1:].split("\0")
+def cut(column: pa.Array) -> pa.ListArray:
+    """Units of each text, for texts without loose white space; joined they give the text again."""
+    marked = pc.replace_substring_regex(pc.replace_substring(column, " ", "\0 "), _MARK, "\\1\0\\2")
+    return pc.split_pattern(pc.replace_substring(marked, _LINE, "\0\n\0"), "\0")
 
 
 class Encoder:
-    """Ids of texts under one tokenizer file."""
+    """Ids of texts under one byte-level BPE tokenizer file."""
 
     def __init__(self, path: str):
         import os
@@ -40,40 +43,65 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.line = self.whole([_LINE])[0]
+        if len(self.line) != 1:
+            raise ValueError("the tokenizer has no single id for a line end")
         self.clear()
 
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        """Ids straight from the library."""
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.pool, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
-        self.start, self.used = np.zeros(1 << 14, np.int64), 0
-
-    def _learn(self, fresh: list[str]) -> None:
-        for lo in range(0, len(fresh), 20_000):
-            part = fresh[lo : lo + 20_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((x for y in ids for x in y), np.uint32, int(size.sum()))
-            n = len(self.place)
-            while n + len(part) > len(self.size):
-                self.size, self.start = np.append(self.size, np.zeros_like(self.size)), np.append(self.start, np.zeros_like(self.start))
-            while self.used + len(flat) > len(self.pool):
-                self.pool = np.append(self.pool, np.zeros_like(self.pool))
-            self.size[n : n + len(part)] = size
-            self.start[n : n + len(part)] = self.used + np.cumsum(size) - size
-            self.pool[self.used : self.used + len(flat)] = flat
-            self.used += len(flat)
-            self.place.update(zip(part, range(n, n + len(part))))
-
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, offsets)."""
-        if len(self.place) > REMEMBERED:
+        self.known = pa.array(["", _LINE], pa.string())
+        self.pool = np.array(self.line, np.uint32)
+        self.start, self.size = np.array([0, 0]), np.array([0, 1])
+
+    def _codes(self, units: pa.Array) -> np.ndarray:
+        """Places of the units in the memory; unknown ones are encoded first.
+
+        They are encoded in one string with line ends between them, where the library cuts;
+        no unit but the line end itself contains one.
+        """
+        place = pc.index_in(units, value_set=self.known)
+        fresh = units.filter(pc.is_null(place))
+        if len(fresh):
+            ids = np.array(self.whole([_LINE.join(fresh.to_pylist())])[0], np.uint32)
+            ends = np.append(np.flatnonzero(ids == self.line[0]), len(ids))
+            if len(ends) != len(fresh):
+                raise ValueError("units and ids do not line up")
+            begin = np.append(0, ends[:-1] + 1)
+            self.known = pa.concat_arrays([self.known, fresh])
+            self.start = np.concatenate([self.start, len(self.pool) + begin])
+            self.size = np.concatenate([self.size, ends - begin])
+            self.pool = np.concatenate([self.pool, ids])
+            place = pc.index_in(units, value_set=self.known)
+        return place.to_numpy(zero_copy_only=False)
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets); nulls are empty texts."""
+        if len(self.known) > REMEMBERED:
             self.clear()
-        cut = [units(t or "") for t in texts]
-        flat = [u for c in cut for u in c]
-        if fresh := list(set(flat) - self.place.keys()):
-            self._learn(fresh)
-        code = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
+        column = pc.fill_null(column, "").cast(pa.string())
+        loose = pc.match_substring_regex(column, _LOOSE).to_numpy(zero_copy_only=False)
+        parts = cut(column.filter(pa.array(~loose)))
+        coded = parts.flatten().dictionary_encode()
+        code = self._codes(coded.dictionary)[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
         size = self.size[code]
         ids = self.pool[T.ragged(self.start[code], size)]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        return ids, ends[np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64)]
+        ends = np.concatenate([[0], np.cumsum(size)])[parts.offsets.to_numpy() - parts.offsets[0].as_py()] if len(parts) else np.zeros(1, np.int64)
+        if not loose.any():
+            return ids, ends
+        odd = self.whole(column.filter(pa.array(loose)).to_pylist())
+        begin, count = np.zeros(len(column), np.int64), np.zeros(len(column), np.int64)
+        begin[~loose], count[~loose] = ends[:-1], np.diff(ends)
+        count[loose] = [len(x) for x in odd]
+        begin[loose] = len(ids) + np.cumsum(count[loose]) - count[loose]
+        pool = np.concatenate([ids, np.array([x for y in odd for x in y], np.uint32)])
+        return pool[T.ragged(begin, count)], np.concatenate([[0], np.cumsum(count)])
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """The worker process's encoder for a file; its memory serves all tasks of the worker."""
+    return Encoder(path)

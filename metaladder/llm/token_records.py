@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import checksum, storage
 from . import textops as T
-from .bpe_units import Encoder
+from .bpe_units import encoder
 
 END, FILE_BYTES, READ_BYTES = 2, 256 << 20, 4 << 20
 HEAD, FOOT, LEAD = 12, 4, 12
@@ -88,11 +88,11 @@ class _Pair:
 
 def _write(base: str, tokenizer: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, pair = Encoder(tokenizer), None
+        encode, pair = encoder(tokenizer), None
         width = 2 if max(encode.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else 4
         for whole in batches:
-            for b in T.slices(whole, "text"):
-                ids, at = encode(b.column("text").to_pylist())
+            for b in T.slices(whole, "text", 8 << 20):
+                ids, at = encode(b.column("text"))
                 ids, at = np.insert(ids, at[1:], end), at + np.arange(len(at))
                 doc_ids = b.column("doc_id").to_numpy(zero_copy_only=False)
                 pair = pair or _Pair(base, int(doc_ids[0]))
