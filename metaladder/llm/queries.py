@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, near_dedup, storage, substring_dedup, token_records, warc
+from . import language_id, media, mixing, near_dedup, storage, substring_dedup, token_records, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as deduplicated chunks, read back and verified."""
+    return media.store_and_read(_documents(spark, sf_dir))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to compressed WARC archives and read back."""
     base = storage.workspace(spark, "warc")
@@ -58,6 +63,7 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media": op1_media,
     "op3_warc": op3_warc,
     "op4_mixing": op4_mixing,
     "op5_near_dedup": op5_near_dedup,
