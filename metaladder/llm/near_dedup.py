@@ -115,6 +115,26 @@ def _confirm(percent: int):
     return run
 
 
+def stars(buckets: DataFrame, base: str) -> DataFrame:
+    """``a, b`` (a < b): every member of a bucket with the bucket's smallest and largest id."""
+    hubs = storage.materialise(buckets.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high"), base, "hubs")
+    tied = buckets.join(hubs, "bucket").select("doc_id", F.explode(F.array("low", "high")).alias("hub")).filter("doc_id <> hub")
+    return storage.materialise(tied.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct(), base, "pairs")
+
+
+def confirmed(texts: DataFrame, pairs: DataFrame, base: str, shingle: int, percent: int) -> DataFrame:
+    """The pairs whose full shingle sets are near enough; only candidates' texts are moved."""
+    # Merge joins at every size: what is small here grows with the corpus.
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = texts.withColumnRenamed("doc_id", "id").join(ends.hint("merge"), "id", "left_semi")
+    sets = storage.materialise(wanted.mapInArrow(_sets(shingle), "id long, items binary"), base, "sets")
+    sets_a, sets_b = (sets.select(F.col("id").alias(x), F.col("items").alias(f"items_{x}")).hint("merge") for x in "ab")
+    met = pairs.join(sets_b, "b").join(sets_a, "a")
+    links = storage.materialise(met.select("a", "b", "items_a", "items_b").mapInArrow(_confirm(percent), "a long, b long"), base, "links")
+    storage.drop(texts.sparkSession, f"{base}/sets", f"{base}/hubs")
+    return links
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, bins: int = BINS, rows: int = ROWS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (doc_id, text).
 
@@ -127,8 +147,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     A pair at the threshold shares none of the ``bins / rows`` bands with probability
     ``(1 - 0.75 ** rows) ** (bins / rows)``, 5e-6 at the defaults.
     """
-    spark = docs.sparkSession
-    base = storage.workspace(spark, "near")
+    base = storage.workspace(docs.sparkSession, "near")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = storage.materialise(texts.mapInArrow(_signed(shingle, bins, rows), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), base, "signed")
     key = ["set_a", "set_b", "n_shingles"]
@@ -138,20 +157,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
 
     heads = full.join(members.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
     buckets = heads.select("doc_id", F.explode("bands").alias("bucket"))
-    hubs = storage.materialise(buckets.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high"), base, "hubs")
-    stars = buckets.join(hubs, "bucket").select("doc_id", F.explode(F.array("low", "high")).alias("hub")).filter("doc_id <> hub")
-    pairs = storage.materialise(stars.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct(), base, "pairs")
-    storage.drop(spark, f"{base}/hubs")
-
-    # Merge joins at every size: what is small here grows with the corpus.
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = texts.withColumnRenamed("doc_id", "id").join(ends.hint("merge"), "id", "left_semi")
-    sets = storage.materialise(wanted.mapInArrow(_sets(shingle), "id long, items binary"), base, "sets")
-    sets_a, sets_b = (sets.select(F.col("id").alias(x), F.col("items").alias(f"items_{x}")).hint("merge") for x in "ab")
-    met = pairs.join(sets_b, "b").join(sets_a, "a")
-    links = storage.materialise(met.select("a", "b", "items_a", "items_b").mapInArrow(_confirm(percent), "a long, b long"), base, "links")
-    storage.drop(spark, f"{base}/sets")
-
+    links = confirmed(texts, stars(buckets, base), base, shingle, percent)
     found = storage.materialise(connected_components(links, base), base, "components")
     named = members.join(found, members.rep == found.node, "left").select("doc_id", F.coalesce("component", "rep").alias("component_id")).distinct()
     return signed.select("doc_id", "n_shingles").join(named, "doc_id", "left").select(

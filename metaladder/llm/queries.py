@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, media, mixing, near_dedup, storage, substring_dedup, token_records, warc
+from . import fingerprints, language_id, media, mixing, near_dedup, storage, substring_dedup, token_records, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,11 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.read(token_records.write(_documents(spark, sf_dir), base, tokenizer_path("byte_bpe_50k.json")))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MinHash fingerprints of all documents, of their edited texts, and their likeness."""
+    return fingerprints.with_neighbours(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op3_warc": op3_warc,
@@ -70,5 +75,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_language_id": op7_language_id,
     "op8_token_records": op8_token_records,
+    "op9_fingerprints": op9_fingerprints,
 }
 ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.oracle()}
