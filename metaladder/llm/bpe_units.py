@@ -16,15 +16,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from . import textops as T
+from .unit_memory import UnitMemory
 
 _SPACE = r"[\s\x1c-\x1f\x{85}\p{Z}]"
 _LOOSE = f"{_SPACE}{{2}}|^{_SPACE}|{_SPACE}$|\\x00"
 _MARK = r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}])([.,!%*&$#])"
 _LINE = "\n"
 
-#: Distinct units that a worker process remembers; the memory is emptied beyond that.
-REMEMBERED = 2_000_000
-
 
 def cut(column: pa.Array) -> pa.ListArray:
     """Units of each text, for texts without loose white space; joined they give the text again."""
@@ -32,7 +30,7 @@ def cut(column: pa.Array) -> pa.ListArray:
     return pc.split_pattern(pc.replace_substring(marked, _LINE, "\0\n\0"), "\0")
 
 
-class Encoder:
+class Encoder(UnitMemory):
     """Ids of texts under one byte-level BPE tokenizer file."""
 
     def __init__(self, path: str):
@@ -53,40 +51,28 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def clear(self) -> None:
-        self.known = pa.array(["", _LINE], pa.string())
-        self.pool = np.array(self.line, np.uint32)
-        self.start, self.size = np.array([0, 0]), np.array([0, 1])
+        super().clear()
+        self.remember(pa.array(["", _LINE], pa.string()), np.array(self.line), np.array([0, 1]))
 
-    def _codes(self, units: pa.Array) -> np.ndarray:
-        """Places of the units in the memory; unknown ones are encoded first.
+    def encode_units(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units in one string with line ends between them, where the library cuts.
 
-        They are encoded in one string with line ends between them, where the library cuts;
-        no unit but the line end itself contains one.
+        No unit but the line end itself contains one, and that one is remembered from the start.
         """
-        place = pc.index_in(units, value_set=self.known)
-        fresh = units.filter(pc.is_null(place))
-        if len(fresh):
-            ids = np.array(self.whole([_LINE.join(fresh.to_pylist())])[0], np.uint32)
-            ends = np.append(np.flatnonzero(ids == self.line[0]), len(ids))
-            if len(ends) != len(fresh):
-                raise ValueError("units and ids do not line up")
-            begin = np.append(0, ends[:-1] + 1)
-            self.known = pa.concat_arrays([self.known, fresh])
-            self.start = np.concatenate([self.start, len(self.pool) + begin])
-            self.size = np.concatenate([self.size, ends - begin])
-            self.pool = np.concatenate([self.pool, ids])
-            place = pc.index_in(units, value_set=self.known)
-        return place.to_numpy(zero_copy_only=False)
+        ids = np.array(self.whole([_LINE.join(units.to_pylist())])[0], np.uint32)
+        line = ids == self.line[0]
+        ends = np.append(np.flatnonzero(line), len(ids))
+        if len(ends) != len(units):
+            raise ValueError("units and ids do not line up")
+        return ids[~line], np.diff(ends, prepend=-1) - 1
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets); nulls are empty texts."""
-        if len(self.known) > REMEMBERED:
-            self.clear()
         column = pc.fill_null(column, "").cast(pa.string())
         loose = pc.match_substring_regex(column, _LOOSE).to_numpy(zero_copy_only=False)
         parts = cut(column.filter(pa.array(~loose)))
         coded = parts.flatten().dictionary_encode()
-        code = self._codes(coded.dictionary)[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+        code = self.codes(coded.dictionary)[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
         size = self.size[code]
         ids = self.pool[T.ragged(self.start[code], size)]
         ends = np.concatenate([[0], np.cumsum(size)])[parts.offsets.to_numpy() - parts.offsets[0].as_py()] if len(parts) else np.zeros(1, np.int64)

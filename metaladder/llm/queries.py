@@ -7,18 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, media, mixing, near_dedup, storage, substring_dedup, token_records, warc
+from . import fingerprints, language_id, language_model, media, mixing, near_dedup, sentencepiece, storage, substring_dedup, token_records, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as deduplicated chunks, read back and verified."""
     return media.store_and_read(_documents(spark, sf_dir))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by a public BPE model and decoded again."""
+    made = sentencepiece.encode(_documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"), ("n_tokens", "ids_crc32", "decoded", "exact"))
+    return made.select("doc_id", "n_tokens", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"), "exact")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to compressed WARC archives and read back."""
     base = storage.workspace(spark, "warc")
@@ -49,13 +62,6 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def tokenizer_path(name: str) -> str:
-    """Place of a public tokenizer's file on this machine."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token records, read back from the files."""
     base = storage.workspace(spark, "records")
@@ -67,8 +73,15 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_neighbours(_documents(spark, sf_dir))
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attention and unigram scores of all documents, learnt from six sevenths of them."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text", language_id.held_out("doc_id", 7, 2).alias("held_out"))
+    return language_model.score(docs)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_warc": op3_warc,
     "op4_mixing": op4_mixing,
     "op5_near_dedup": op5_near_dedup,
@@ -76,5 +89,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_token_records": op8_token_records,
     "op9_fingerprints": op9_fingerprints,
+    "op10_language_model": op10_language_model,
 }
 ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.oracle()}
