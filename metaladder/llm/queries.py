@@ -79,6 +79,13 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(docs)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py over all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_sentencepiece": op2_sentencepiece,
@@ -90,5 +97,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_records": op8_token_records,
     "op9_fingerprints": op9_fingerprints,
     "op10_language_model": op10_language_model,
+    "pipeline": pipeline,
 }
 ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.oracle()}
