@@ -21,6 +21,8 @@ MIN_SCORE = 0.5
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Naive Bayes trained on the labelled rows; documents of undetermined language go."""
     model = language_id.train(docs)
+    if not model.languages:  # nothing to learn from, so nothing to reject by
+        return docs
     named = language_id.predict(docs, model)
     keep = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= MIN_SCORE)
     return named.filter(keep).select(*docs.columns)

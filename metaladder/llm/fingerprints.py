@@ -109,8 +109,9 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
     the one with the next larger id, after the last the first; a table of one row is its own
     next. Two texts without words have equal fingerprints (all components empty) and
     likeness 1. An empty table gives an empty result. Other columns are ignored.
+    Rows without an id are left out.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = storage.pick(docs, "doc_id", "text").fillna("", ["text"])
     return ranged(texts).select("doc_id", "text", "range", "tail").mapInArrow(_pairs, OUT_DDL)
 
 
@@ -133,6 +134,6 @@ def similar(docs: DataFrame, *, percent: int = near_dedup.PERCENT) -> DataFrame:
     long as the hub is near; texts without words have no partner.
     """
     base = storage.workspace(docs.sparkSession, "similar")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = storage.pick(docs, "doc_id", "text")
     banded = storage.materialise(texts.mapInArrow(_prints, "doc_id long, fingerprint binary, bands array<long>"), base, "banded")
     return near_dedup.confirmed(texts, near_dedup.stars(banded.select("doc_id", F.explode("bands").alias("bucket")), base), base, SHINGLE, percent)

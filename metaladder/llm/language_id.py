@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from . import storage
 from . import textops as T
 
 BUCKETS, ORDERS, MAX_LANGUAGES, SMOOTHING = 1 << 14, (2, 3), 512, 0.5
@@ -80,7 +81,7 @@ def train(docs: DataFrame, *, buckets: int = BUCKETS, orders: tuple[int, ...] =
     Priors are uniform, so how often a language occurs in the training rows decides nothing.
     No usable row gives a model without languages, which calls everything undetermined.
     """
-    rows = docs.select("text", "lang").filter("text is not null and lang is not null")
+    rows = storage.unclashed(docs, "text", "lang").select("text", "lang").filter("text is not null and lang is not null")
     n_langs = F.count_distinct("lang")
     counted = rows.mapInArrow(_count(buckets, orders), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = counted.limit(MAX_LANGUAGES * buckets + 1).toArrow()
@@ -125,7 +126,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "score")
+    docs = storage.unclashed(docs, "text").drop("lang_pred", "score")
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -158,11 +158,12 @@ def score(docs: DataFrame, *, epochs: int = 4) -> DataFrame:
     tokens; score is the model's log10 probability of the text. A null, empty or blank text
     is its end alone. Without training rows all words are unseen and N = V = 0. Rows with
     equal ids and texts count each on their own and get equal scores; other columns are
-    ignored. An empty table gives an empty result.
+    ignored.
+    Rows without an id are left out. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     base = storage.workspace(spark, "lm")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out")
+    texts = storage.pick(docs, "doc_id", "text", "held_out").fillna(False, ["held_out"])
     training = texts.filter("not held_out").select("doc_id", "text")
     gathered = storage.materialise(training.mapInArrow(_gather, "kind int, key long, id int, n long, data binary"), base, "gathered")
     counts = storage.materialise(gathered.filter(F.col("kind") == WORDS).groupBy("key").agg(F.max("id").alias("id"), F.sum("n").alias("c")), base, "counts")

@@ -168,10 +168,11 @@ def store_and_read(docs: DataFrame, *, unit: int = UNIT) -> DataFrame:
     form is the payload's frames in order. Equal texts, and texts that differ only in zero
     bytes at the end, share a payload. Repeated rows are all returned; an empty table stores
     nothing. Other columns are ignored.
+    Rows without an id are left out.
     """
     spark = docs.sparkSession
     base = storage.workspace(spark, "media")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = storage.pick(docs, "doc_id", "text")
     recipes = storage.materialise(texts.mapInArrow(_recipes(unit), "doc_id long, n_bytes long, payload_key binary, digests array<binary>"), base, "recipes")
     heads = storage.materialise(recipes.groupBy("payload_key").agg(F.min("doc_id").alias("doc_id")), base, "heads")
     payloads = recipes.select("payload_key", "doc_id", "digests").join(heads.hint("merge"), ["payload_key", "doc_id"]).distinct()

@@ -107,7 +107,7 @@ def mix(docs: DataFrame, *, wanted: Mapping[str, float | Mapping[str, float]] =
         raise ValueError(f"unknown dimensions: {sorted(unknown)}")
     base = storage.workspace(docs.sparkSession, "mix")
     keys = {f"mix_{d}": d for d in DIMENSIONS}
-    plain = docs.drop("topic", "n_tokens", "probability", "selected")
+    plain = storage.unclashed(docs, "doc_id", "text", "source", "lang").drop("topic", "n_tokens", "probability", "selected")
     marked = features(plain)
     cells = storage.materialise(marked.groupBy(*keys).agg(F.sum("mix_tokens").alias("tokens")), base, "cells")
     raked = rake(cells, base, wanted={f"mix_{d}": wanted[d] for d in wanted}, fraction=fraction, rounds=rounds)

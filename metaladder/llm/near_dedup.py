@@ -143,12 +143,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     white space alone, has no shingles and is linked with nothing. Rows with a repeated id
     and equal text are one document repeated; each row is returned. Ties need no rule: a
     component's id is its smallest id. Other columns of ``docs`` are ignored.
+    Rows without an id are left out.
 
     A pair at the threshold shares none of the ``bins / rows`` bands with probability
     ``(1 - 0.75 ** rows) ** (bins / rows)``, 5e-6 at the defaults.
     """
     base = storage.workspace(docs.sparkSession, "near")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = storage.pick(docs, "doc_id", "text")
     signed = storage.materialise(texts.mapInArrow(_signed(shingle, bins, rows), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), base, "signed")
     key = ["set_a", "set_b", "n_shingles"]
     full = signed.filter("n_shingles > 0")

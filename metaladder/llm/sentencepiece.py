@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from . import pieces
+from . import pieces, storage
 from . import textops as T
 
 KINDS = {
@@ -29,7 +29,7 @@ def encode(docs: DataFrame, model: str, columns: Sequence[str] = ("n_tokens", "i
     A null text is an empty one: no ids, decoded empty. Columns of ``docs`` with the names
     asked for are replaced, all others pass through.
     """
-    docs = docs.drop(*columns)
+    docs = storage.unclashed(docs, "text").drop(*columns)
     schema = StructType([*docs.schema.fields, *(StructField(c, KINDS[c][0]) for c in columns)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,6 +14,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
 
@@ -34,6 +35,33 @@ def workspace(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/metaladder/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def pick(docs: DataFrame, *names: str, key: str = "doc_id") -> DataFrame:
+    """The named columns of the rows that have a key, as long where they are the key.
+
+    Other columns are dropped by place, so one that differs from a name in case alone, or
+    repeats it, does no harm (the first column of exactly that name counts).
+    """
+    cols = docs.columns
+    place = {n: cols.index(n) for n in names}
+    plain = docs.toDF(*(f"c{i}" for i in range(len(cols))))
+    return plain.select(*(F.col(f"c{place[n]}").cast("long").alias(n) if n == key else F.col(f"c{place[n]}").alias(n) for n in names)).filter(F.col(key).isNotNull())
+
+
+def unclashed(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` with one column of each name, case apart: the exact ``names`` where there are
+    such, else the first; the others are dropped by place."""
+    cols = docs.columns
+    best: dict[str, int] = {}
+    for i, c in enumerate(cols):
+        at = best.setdefault(c.lower(), i)
+        if c in names and cols[at] not in names:
+            best[c.lower()] = i
+    if len(best) == len(cols):
+        return docs
+    plain = docs.toDF(*(f"c{i}" for i in range(len(cols))))
+    return plain.select(*(F.col(f"c{i}").alias(cols[i]) for i in sorted(best.values())))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
     gc.collect()

@@ -157,10 +157,11 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -
     shorter than a window keeps all its words. Ties need no rule, for (doc_id, start) orders
     all windows; where an id is repeated its rows are read as the same document, so its
     windows do not remove each other. Other columns of ``docs`` are ignored.
+    Rows without an id are left out.
     """
     spark = docs.sparkSession
     base = storage.workspace(spark, "repeats")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = storage.pick(docs, "doc_id", "text")
     sketches = storage.materialise(texts.mapInArrow(_sketches(length, gram), "doc_id long, digest binary, anchors array<long>"), base, "sketches")
     groups = sketches.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id < last_id")
     groups = storage.materialise(groups.select("digest", "first_id"), base, "groups")

@@ -112,10 +112,11 @@ def write(docs: DataFrame, base: str, tokenizer: str, *, end: int = END) -> Data
     Returns the table of files (uri, index_uri, first_id, n_records, n_ids). Nulls are empty
     texts: a record of the end id alone. Rows with equal ids are ordered by their text. An
     empty table writes no file. Other columns are ignored.
+    Rows without an id are left out.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    texts = storage.pick(docs, "doc_id", "text").fillna("", ["text"])
     ordered = texts.repartitionByRange(parts, "doc_id", F.crc32("text")).sortWithinPartitions("doc_id", F.crc32("text"))
     return storage.materialise(ordered.mapInArrow(_write(f"{base}/records", tokenizer, end), "uri string, index_uri string, first_id long, n_records long, n_ids long"), base, "files")
 

@@ -186,8 +186,10 @@ def write(pages: DataFrame, base: str, *, min_revisit_bytes: int = 0) -> DataFra
     ``min_revisit_bytes`` bytes the largest page_id is the response and the others revisit it;
     where that page_id itself repeats with equal html, each of its rows is a response. An empty
     table writes no archive. Other columns are ignored.
+    Rows without a page_id are left out.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
+    picked = storage.pick(pages, "page_id", "url", "html", key="page_id").fillna("", ["url", "html"])
+    rows = picked.select("page_id", "url", F.col("html").cast("binary").alias("payload"))
     owner = originals(rows, base, min_revisit_bytes)
     joined = rows.withColumns({"sha1": F.sha1("payload"), "n_bytes": F.octet_length("payload")}).join(owner, ["sha1", "n_bytes"], "left")
     ready = joined.select("page_id", "url", "payload", F.when(F.col("original") != F.col("page_id"), F.col("original")).alias("refers_to"))
