@@ -11,6 +11,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,9 +64,15 @@ def unclashed(docs: DataFrame, *names: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
+    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more.
+
+    The plan that has just run is held by objects which a first collection only queues, so a
+    second one follows.
+    """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
 
 
 def materialise(df: DataFrame, base: str, name: str) -> DataFrame:
