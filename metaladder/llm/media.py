@@ -4,7 +4,7 @@
   to ``MIN`` and ``MAX`` bytes. Cuts depend on nearby bytes alone, so equal passages of
   different payloads give equal chunks.
 * Chunks are named by their SHA-256. Spark joins find one holder of each digest, so the
-  store has every chunk once, as its own Zstandard frame.
+  store has every chunk once, as its own Zstandard frame under the store's dictionary.
 * A payload is an ordered list of chunk digests, and the hash of that list names it. Each
   distinct payload is read back once: chunk by chunk from the store where it is one chunk,
   otherwise by joining its list with the store. Every chunk is verified against its digest
@@ -26,6 +26,8 @@ from . import storage
 from . import textops as T
 
 UNIT, MIN, MAX, BITS, LEVEL = 64, 4 << 10, 64 << 10, 13, 6
+#: The dictionary that all frames of a store share: its size, and the sample it is trained on.
+DICTIONARY, SAMPLE_ROWS, SAMPLE_CHARS = 32 << 10, 512, 16 << 10
 GEAR = (T.seeded(256, 0x6EA2) >> np.uint64(32)).astype(np.uint32)
 
 RECIPES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_key", pa.binary()), ("digests", pa.list_(pa.binary()))])
@@ -92,11 +94,30 @@ def _recipes(unit: int):
     return run
 
 
-def _frames(unit: int):
+def dictionary(texts: DataFrame) -> bytes:
+    """Trained on the starts of the ``SAMPLE_ROWS`` documents with the least hashes of their
+    ids; empty where they are too few."""
+    import zstandard
+
+    sample = texts.filter("text is not null").select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy("h", "text").limit(SAMPLE_ROWS)
+    rows = [r.text.encode() for r in sample.collect()]
+    try:
+        return zstandard.train_dictionary(DICTIONARY, rows).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
+def _shared(words: bytes) -> dict:
+    import zstandard
+
+    return {"dict_data": zstandard.ZstdCompressionDict(words)} if words else {}
+
+
+def _frames(unit: int, words: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        packer = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_content_size=True)
+        packer = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_content_size=True, write_dict_id=False, **_shared(words))
         for part in _payloads(batches, unit):
             rows = [(d, digest, packer.compress(x)) for d, _, p in part for digest, x in {hashlib.sha256(x).digest(): x for x in pieces(p)}.items()]
             yield T.columns(CHUNKS, **dict(zip(CHUNKS.names, map(list, zip(*rows)))))
@@ -117,20 +138,23 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return T.columns(FEATURES, **dict(zip(FEATURES.names, map(list, zip(*rows)))))
 
 
-def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
+def _single(words: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
-    unpacker = zstandard.ZstdDecompressor()
-    for b in batches:
-        if b.num_rows:
-            yield _batch([_read([x], unpacker) for x in zip(b.column("digest").to_pylist(), b.column("frame").to_pylist())])
+        unpacker = zstandard.ZstdDecompressor(**_shared(words))
+        for b in batches:
+            if b.num_rows:
+                yield _batch([_read([x], unpacker) for x in zip(b.column("digest").to_pylist(), b.column("frame").to_pylist())])
+
+    return run
 
 
-def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _assembled(batches: Iterator[pa.RecordBatch], words: bytes) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (doc_id, place) to one row per payload."""
     import zstandard
 
-    unpacker, now, key, parts = zstandard.ZstdDecompressor(), None, b"", []
+    unpacker, now, key, parts = zstandard.ZstdDecompressor(**_shared(words)), None, b"", []
 
     def done() -> tuple:
         out = _read(parts, unpacker)
@@ -174,18 +198,21 @@ def store_and_read(docs: DataFrame, *, unit: int = UNIT) -> DataFrame:
     base = storage.workspace(spark, "media")
     texts = storage.pick(docs, "doc_id", "text")
     recipes = storage.materialise(texts.mapInArrow(_recipes(unit), "doc_id long, n_bytes long, payload_key binary, digests array<binary>"), base, "recipes")
+    words = dictionary(texts)
     heads = storage.materialise(recipes.groupBy("payload_key").agg(F.min("doc_id").alias("doc_id")), base, "heads")
     payloads = recipes.select("payload_key", "doc_id", "digests").join(heads.hint("merge"), ["payload_key", "doc_id"]).distinct()
     payloads = storage.materialise(payloads, base, "payloads")
+    storage.drop(spark, f"{base}/heads")
     one = F.size("digests") == 1
     uses = payloads.select("doc_id", one.alias("one"), F.explode(F.array_distinct("digests")).alias("digest"))
     holders = storage.materialise(uses.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.bool_or("one").alias("single"), F.bool_or(~F.col("one")).alias("part")), base, "holders")
     # The document is part of the key, so a digest that many documents share is spread out.
-    framed = texts.mapInArrow(_frames(unit), "doc_id long, digest binary, frame binary").join(holders.hint("merge"), ["digest", "doc_id"])
+    framed = texts.mapInArrow(_frames(unit, words), "doc_id long, digest binary, frame binary").join(holders.hint("merge"), ["digest", "doc_id"])
+    spark.createDataFrame([(bytearray(words),)], "words binary").write.parquet(f"{base}/dictionary")  # the store's, for later readers
     store = storage.materialise(framed.dropDuplicates(["digest", "doc_id"]).select("digest", "single", "part", "frame"), base, "store")
 
-    alone = store.filter("single").select("digest", "frame").mapInArrow(_single, FEATURE_DDL)
+    alone = store.filter("single").select("digest", "frame").mapInArrow(_single(words), FEATURE_DDL)
     listed = payloads.filter(~one).select("doc_id", "payload_key", F.posexplode("digests").alias("place", "digest"))
     found = listed.join(store.filter("part").select("digest", "frame").hint("merge"), "digest").repartition("doc_id").sortWithinPartitions("doc_id", "place")
-    features = storage.materialise(alone.union(found.select("doc_id", "payload_key", "digest", "frame").mapInArrow(_assembled, FEATURE_DDL)), base, "features")
+    features = storage.materialise(alone.union(found.select("doc_id", "payload_key", "digest", "frame").mapInArrow(lambda batches: _assembled(batches, words), FEATURE_DDL)), base, "features")
     return recipes.select("doc_id", "n_bytes", "payload_key", F.size("digests").alias("n_chunks")).join(features, "payload_key").select("doc_id", "n_bytes", *FEATURES.names[1:], "n_chunks")
