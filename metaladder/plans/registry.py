@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import metagame_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**metagame_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**metagame_queries.ORACLE_SQL}
