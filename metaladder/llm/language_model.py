@@ -25,7 +25,7 @@ from . import textops as T
 
 IDS, HEAD, SAMPLE_BLOCKS, TASK_BLOCKS = 128, 1 << 20, 16_384, 1024
 WORDS, BIGRAMS, BLOCKS = 0, 1, 2
-FLUSH = 1_500_000
+FLUSH = 750_000
 
 GATHERED = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("id", pa.int32()), ("n", pa.int64()), ("data", pa.binary())])
 SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("seen", pa.float64()), ("model", pa.float64()), ("rest", pa.list_(pa.int64()))])

@@ -34,7 +34,7 @@ NONE = np.int32(-1)
 #: Units above this many characters are relaxed one position at a time.
 LONG = 256
 #: Characters indexed at once.
-INDEXED = 1 << 20
+INDEXED = 1 << 19
 CACHE_BITS = 21
 
 

@@ -35,7 +35,7 @@ def encode(docs: DataFrame, model: str, columns: Sequence[str] = ("n_tokens", "i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = pieces.encoder(model)
         for whole in batches:
-            for b in T.slices(whole, "text", 8 << 20):
+            for b in T.slices(whole, "text", 4 << 20):
                 ids, at = encoder(b.column("text"))
                 made = {"n_tokens": at[1:] - at[:-1]}
                 if "ids" in columns:

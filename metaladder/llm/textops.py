@@ -8,6 +8,7 @@ character, so words of bytes and words of characters agree. Nulls count as empty
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes of text handled at once; bounds the working arrays to some tens of MB.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -70,6 +71,22 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return raw[at[0] : at[-1]], at - at[0]
 
 
+@cache
+def _allocator():
+    import ctypes
+
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Return freed memory to the system, for a worker process lives longer than its task."""
+    pa.default_memory_pool().release_unused()
+    _allocator()(0)
+
+
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about ``limit`` bytes of text (one long text may exceed it)."""
     _, at = buffers(batch.column(text))
@@ -78,6 +95,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE) -> Iterator[pa.
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, "right")) - 1)
         yield batch.slice(lo, hi - lo)
         lo = hi
+    give_back()
 
 
 class Words:

@@ -91,7 +91,7 @@ def _write(base: str, tokenizer: str, end: int):
         encode, pair = encoder(tokenizer), None
         width = 2 if max(encode.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else 4
         for whole in batches:
-            for b in T.slices(whole, "text", 8 << 20):
+            for b in T.slices(whole, "text", 4 << 20):
                 ids, at = encode(b.column("text"))
                 ids, at = np.insert(ids, at[1:], end), at + np.arange(len(at))
                 doc_ids = b.column("doc_id").to_numpy(zero_copy_only=False)

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct units remembered at most; the memory is emptied beyond that.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
 
 
 class UnitMemory:
