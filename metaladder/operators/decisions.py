@@ -106,11 +106,12 @@ def swaps(lists: DataFrame, x: DataFrame, apart: float = -0.15, together: float
     return p.select("group", "card_a", "card_b", "both", "only_a", "only_b", "neither", "phi", relation.alias("relation"))
 
 
-def first_split(lists: DataFrame, x: DataFrame, min_share: float = 0.07, min_lists: int = 15) -> DataFrame:
+def first_split(lists: DataFrame, x: DataFrame, min_share: float = 0.07, min_lists: int = 15, floors: DataFrame | None = None) -> DataFrame:
     """``group, card, threshold, gain``: the one question that best predicts the rest of a list.
 
     Gain is the share of the other cards' squared error that splitting by "at least
-    ``threshold`` copies" removes. Ties go to the first card, then the lowest threshold.
+    ``threshold`` copies" removes. Each side needs ``min_share`` of the lists and
+    ``min_lists``, or what ``floors`` (group, floor) says. Ties go to the first card, then the lowest threshold.
     """
     n = sizes(lists)
     steps = x.groupBy("group", "card").agg(F.max("count").alias("top"), F.min("count").alias("least"), F.count(F.lit(1)).alias("p")).join(n, "group")
@@ -118,7 +119,10 @@ def first_split(lists: DataFrame, x: DataFrame, min_share: float = 0.07, min_lis
     asked = steps.withColumn("low", low).filter("top > low").select("group", F.col("card").alias("ask"), F.explode(F.expr("sequence(cast(low as int) + 1, cast(top as int))")).alias("k"))
     right = asked.join(x.withColumnRenamed("card", "ask"), ["group", "ask"]).filter("count >= k").select("group", "ask", "k", "deck_id")
     big = right.groupBy("group", "ask", "k").agg(F.count(F.lit(1)).alias("nr")).join(n, "group").withColumn("nl", F.col("lists") - F.col("nr"))
-    floor = F.greatest(F.lit(min_lists).cast("long"), F.floor(F.col("lists") * min_share + 1e-9))
+    if floors is None:
+        floor = F.greatest(F.lit(min_lists).cast("long"), F.floor(F.col("lists") * min_share + 1e-9))
+    else:
+        big, floor = big.join(floors, "group"), F.col("floor")
     big = big.filter((F.col("nr") >= floor) & (F.col("nl") >= floor))
     inside = right.join(x, ["group", "deck_id"]).groupBy("group", "ask", "k", "card").agg(F.sum("count").cast("double").alias("sr"), F.sum(F.col("count") * F.col("count")).cast("double").alias("qr"))
     all_ = x.groupBy("group", "card").agg(F.sum("count").cast("double").alias("s"), F.sum(F.col("count") * F.col("count")).cast("double").alias("q"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 #: Settings that change results; the others only change speed.
@@ -25,3 +27,13 @@ def build_session(app: str = "metaladder", master: str | None = None, **conf: st
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def reachable(spark: SparkSession) -> SparkSession:
+    """Let Python workers on this machine import the package from where it lies."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+    return spark
