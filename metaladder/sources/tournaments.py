@@ -55,7 +55,7 @@ def load(spark: SparkSession, root: str, rules: RuleSet, fmt: str = "Pauper") ->
     counted = files.select("path", F.size("lists").alias("n"))
     numbered = counted.select("path", (F.row_number().over(ordered) - 1).cast("long").alias("event_id"), (F.sum("n").over(ordered) - F.col("n")).cast("long").alias("first_deck"))
     source = F.regexp_extract("path", "/Tournaments/([^/]+)/", 1)
-    files = files.join(numbered, "path").withColumns({"source": source, "date": F.try_to_date(F.substring("Tournament.Date", 1, 10), F.lit("yyyy-MM-dd")), "name": F.col("Tournament.Name")})
+    files = files.join(numbered, "path").withColumns({"source": source, "date": F.try_to_date(F.substring("Tournament.Date", 1, 10), "yyyy-MM-dd"), "name": F.col("Tournament.Name")})
     players = F.when(_size("Standings") > 0, _size("Standings")).otherwise(_size("Decks"))
     events = files.select("event_id", "date", "name", "source", event_type(source, F.col("name")).alias("event_type"), "uri", players.cast("int").alias("players"))
 
