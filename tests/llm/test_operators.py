@@ -414,3 +414,61 @@ def test_empty_tables(spark, docs, name):
 @pytest.mark.parametrize("name", OPERATORS)
 def test_nulls_and_repeated_rows(spark, odd, name):
     assert OPERATORS[name](spark, odd).count() == (2 if name == "fingerprints" else 4 if name in KEEP_NULL_IDS else 3)
+
+
+def test_automaton_finds_longest_matches():
+    from metaladder.llm.automaton import Automaton
+
+    rng = random.Random(9)
+    for _ in range(40):
+        sequences = [[rng.randrange(4) for _ in range(rng.randint(0, 25))] for _ in range(rng.randint(1, 4))]
+        text = [rng.randrange(4) for _ in range(40)]
+        parts = {tuple(s[i:j]) for s in sequences for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
+        want = [max((k for k in range(1, e + 2) if tuple(text[e + 1 - k : e + 1]) in parts), default=0) for e in range(len(text))]
+        assert Automaton(sequences).statistics(text) == want
+
+
+def test_reference_passages_are_removed(spark, docs, rows):
+    from metaladder.llm.automaton import remove_reference
+
+    texts = [t for _, t in rows if t and len(t.split()) > 60][:3]
+    reference = spark.createDataFrame([(t,) for t in [*texts, None, ""]], "text string")
+    for length in (5, 20):
+        windows = {tuple(w[i : i + length]) for t in texts for w in [brute.words(t)] for i in range(len(w) - length + 1)}
+        for r in remove_reference(docs, reference, length=length).collect():
+            w = brute.words(dict(rows)[r.doc_id])
+            gone = [False] * len(w)
+            for i in range(len(w) - length + 1):
+                if tuple(w[i : i + length]) in windows:
+                    gone[i : i + length] = [True] * length
+            assert (r.n_words, r.n_removed) == (len(w), sum(gone))
+            assert r.kept_text.encode() == b" ".join(x for x, g in zip(w, gone) if not g)
+    with pytest.raises(ValueError):
+        remove_reference(docs, spark.createDataFrame([("x " * 2_000_001,)], "text string"))
+
+
+def test_pipeline_stages_take_effect(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    stems = {"en": ["the", "and", "hing", "tion"], "fr": ["le", "et", "aux", "ment"]}
+    make = lambda lang, n: " ".join(rng.choice(stems[lang]) + rng.choice("bcdfg") * rng.randint(0, 3) + rng.choice("aeiou") for _ in range(n))
+    passage, base = make("en", 70), make("en", 200)
+    data = [(i, make("en" if i % 3 else "fr", 60), "en" if i % 3 else "fr", f"s{i % 4}") for i in range(60)]
+    data += [(100, base, "en", "s0"), (101, base, "en", "s1"), (102, base + " more", "en", "s1"), (103, make("en", 30) + " " + passage, "en", "s2"), (104, passage + " " + make("en", 40), "en", "s2"), (105, "12 34 !!", "en", "s0"), (106, None, None, None)]
+    table = spark.createDataFrame([(*r, len(r[1] or "")) for r in data], "doc_id long, text string, lang string, source string, n_chars long")
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    now, seen = table, {}
+    for name, stage in corpus_pipeline.STAGES:
+        now = storage.materialise(stage(spark, now, str(tmp_path)), f"file://{tmp_path}/run", name)
+        seen[name] = {r.doc_id: r for r in now.collect()}
+        assert now.columns == (table.columns if name != "sentencepiece" else ["doc_id", "source", "lang", "n_tokens", "ids"])
+    clean = {i for i in range(60)} | {100, 103, 104}
+    assert set(seen["language_id"]) == clean | {101, 102} and set(seen["near_dedup"]) == clean
+    cut = seen["substring_dedup"]
+    assert set(cut) == clean and passage in cut[103].text and passage not in cut[104].text and cut[104].n_chars == len(cut[104].text)
+    want = {d: brute.repeats([(x, y.text) for x, y in seen["near_dedup"].items()])[d] for d in clean}
+    assert all(hashlib.sha256(" ".join(cut[d].text.split()).encode()).hexdigest() == want[d][2] for d in clean)
+    assert 0 < len(seen["mixing"]) < len(clean) and set(seen["sentencepiece"]) == set(seen["mixing"])
+    ran = corpus_pipeline.run(spark, str(tmp_path))
+    assert {(r.doc_id, tuple(r.ids)) for r in ran.collect()} == {(r.doc_id, tuple(r.ids)) for r in seen["sentencepiece"].values()}
