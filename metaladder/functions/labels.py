@@ -68,3 +68,8 @@ def spaced(name: Column) -> Column:
 def folded(card: Column) -> Column:
     """The plain name of a snow-covered card."""
     return F.regexp_replace(card, "^Snow-Covered ", "")
+
+
+def sheet(place: Column, per_sheet: int = 9) -> tuple[Column, Column]:
+    """Sheet and spot of the n-th picture (from 1) when sheets hold ``per_sheet`` of them."""
+    return F.floor((place - 1) / per_sheet), (place - 1) % per_sheet
