@@ -35,9 +35,12 @@ class UnitMemory:
         """Places of the units in the memory; unknown ones are encoded first."""
         if len(self.known) > REMEMBERED:
             self.clear()
-        place = pc.index_in(units, value_set=self.known)
-        fresh = units.filter(pc.is_null(place))
-        if len(fresh):
+        found = pc.index_in(units, value_set=self.known)
+        place = found.to_numpy(zero_copy_only=False)
+        if found.null_count:
+            unknown = found.is_null().to_numpy(zero_copy_only=False)
+            fresh, known = units.filter(pa.array(unknown)), len(self.known)
             self.remember(fresh, *self.encode_units(fresh))
-            place = pc.index_in(units, value_set=self.known)
-        return place.to_numpy(zero_copy_only=False).astype(np.int64)
+            place = np.where(unknown, 0, place).astype(np.int64)
+            place[unknown] = known + np.arange(len(fresh))
+        return place.astype(np.int64)
