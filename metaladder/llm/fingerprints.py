@@ -136,4 +136,4 @@ def similar(docs: DataFrame, *, percent: int = near_dedup.PERCENT) -> DataFrame:
     base = storage.workspace(docs.sparkSession, "similar")
     texts = storage.pick(docs, "doc_id", "text")
     banded = storage.materialise(texts.mapInArrow(_prints, "doc_id long, fingerprint binary, bands array<long>"), base, "banded")
-    return near_dedup.confirmed(texts, near_dedup.stars(banded.select("doc_id", F.explode("bands").alias("bucket")), base), base, SHINGLE, percent)
+    return near_dedup.confirmed(texts, near_dedup.stars(near_dedup.shared_buckets(banded.select("doc_id", F.explode("bands").alias("bucket")), base), base), base, SHINGLE, percent)

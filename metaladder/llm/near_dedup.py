@@ -7,6 +7,8 @@
 3. Representatives that share a bucket (band and its bins) are tied to two hubs of it, the
    smallest and the largest: stars, so pairs grow with the bucket's size, not its square.
 4. Every candidate is confirmed on the full sets, and confirmed links are closed to components.
+5. Buckets whose members are still in several components get further stars around hubs that
+   differ from bucket to bucket; what they confirm is joined to the components.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from . import textops as T
 from .graph import connected_components
 
 SHINGLE, PERCENT, BINS, ROWS = 5, 75, 128, 4
+#: Hubs of a second star in each bucket, and how many buckets make it worth confirming.
+PROBES, PROBE_BUCKETS = 6, 3
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -115,13 +119,42 @@ def _confirm(percent: int):
     return run
 
 
-def stars(buckets: DataFrame, base: str) -> DataFrame:
-    """``a, b`` (a < b): every member of a bucket with the bucket's smallest and largest id."""
+def shared_buckets(buckets: DataFrame, base: str) -> DataFrame:
+    """``doc_id, bucket, low, high`` of buckets with two members or more; low and high are their hubs."""
     hubs = storage.materialise(buckets.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high"), base, "hubs")
-    tied = buckets.join(hubs, "bucket").select("doc_id", F.explode(F.array("low", "high")).alias("hub")).filter("doc_id <> hub")
+    return storage.materialise(buckets.join(hubs, "bucket").select("doc_id", "bucket", "low", "high"), base, "shared")
+
+
+def stars(shared: DataFrame, base: str) -> DataFrame:
+    """``a, b`` (a < b): every member of a bucket with the bucket's smallest and largest id."""
+    tied = shared.select("doc_id", F.explode(F.array("low", "high")).alias("hub")).filter("doc_id <> hub")
     return storage.materialise(tied.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct(), base, "pairs")
 
 
+def probes(shared: DataFrame, found: DataFrame, pairs: DataFrame, base: str, hubs: int = PROBES, least: int = PROBE_BUCKETS) -> DataFrame:
+    """``a, b``: further stars in buckets whose members are not yet in one component.
+
+    ``hubs`` members of each such bucket meet the members of other components, where a member
+    shares ``least`` such buckets with a hub's component. Half of the hubs are picked by hash,
+    different ones in different buckets; the other half are members that share most buckets,
+    which lie near the middle of their group. Pairs looked at before are left out.
+    """
+    central = storage.materialise(shared.groupBy("doc_id").agg(F.count(F.lit(1)).alias("weight")), base, "central")
+    named = shared.select("doc_id", "bucket").join(central, "doc_id").join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "bucket", "weight", F.coalesce("component", "doc_id").alias("comp"))
+    named = storage.materialise(named, base, "named")
+    mixed = named.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("bucket")
+    rows = storage.materialise(named.join(mixed, "bucket"), base, "mixed")
+    chance = lambda i: F.xxhash64("doc_id", "bucket", F.lit(i))
+    middle = lambda i: -(4 * F.col("weight") + F.pmod(chance(i), F.lit(8)))
+    best = [F.min(F.struct((chance(i) if i % 2 else middle(i)).alias("h"), F.col("doc_id").alias("hub"), F.col("comp").alias("hub_comp"))) for i in range(hubs)]
+    picked = rows.groupBy("bucket").agg(F.array_distinct(F.transform(F.array(*best), lambda p: F.struct(p["hub"].alias("hub"), p["hub_comp"].alias("hub_comp")))).alias("p"))
+    picked = storage.materialise(picked.select("bucket", F.inline("p")), base, "picked")
+    met = storage.materialise(rows.join(picked, "bucket").filter("comp <> hub_comp").select("doc_id", "hub", "hub_comp", "bucket"), base, "met")
+    often = met.groupBy("doc_id", "hub_comp").agg(F.count_distinct("bucket").alias("n")).filter(F.col("n") >= least).select("doc_id", "hub_comp")
+    new = met.join(often, ["doc_id", "hub_comp"]).select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
+    return storage.materialise(new.join(pairs, ["a", "b"], "left_anti"), base, "pairs")
+
+
 def confirmed(texts: DataFrame, pairs: DataFrame, base: str, shingle: int, percent: int) -> DataFrame:
     """The pairs whose full shingle sets are near enough; only candidates' texts are moved."""
     # Merge joins at every size: what is small here grows with the corpus.
@@ -131,7 +164,7 @@ def confirmed(texts: DataFrame, pairs: DataFrame, base: str, shingle: int, perce
     sets_a, sets_b = (sets.select(F.col("id").alias(x), F.col("items").alias(f"items_{x}")).hint("merge") for x in "ab")
     met = pairs.join(sets_b, "b").join(sets_a, "a")
     links = storage.materialise(met.select("a", "b", "items_a", "items_b").mapInArrow(_confirm(percent), "a long, b long"), base, "links")
-    storage.drop(texts.sparkSession, f"{base}/sets", f"{base}/hubs")
+    storage.drop(texts.sparkSession, f"{base}/sets")
     return links
 
 
@@ -158,8 +191,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
 
     heads = full.join(members.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
     buckets = heads.select("doc_id", F.explode("bands").alias("bucket"))
-    links = confirmed(texts, stars(buckets, base), base, shingle, percent)
+    shared = shared_buckets(buckets, base)
+    pairs = stars(shared, base)
+    links = confirmed(texts, pairs, base, shingle, percent)
     found = storage.materialise(connected_components(links, base), base, "components")
+    again = f"{base}/again"
+    more = confirmed(texts, probes(shared, found, pairs, again), again, shingle, percent)
+    found = storage.materialise(connected_components(links.union(more), again), again, "components")
     named = members.join(found, members.rep == found.node, "left").select("doc_id", F.coalesce("component", "rep").alias("component_id")).distinct()
     return signed.select("doc_id", "n_shingles").join(named, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("component_id", "doc_id") == F.col("doc_id")).alias("kept")
