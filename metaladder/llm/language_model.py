@@ -106,7 +106,7 @@ class Scorer:
         self.key, self.value, self.complete = key, value, complete
 
 
-def _network(gathered: DataFrame, epochs: int) -> dict:
+def _network(gathered: DataFrame, tokens: int, epochs: int) -> dict:
     pairs = gathered.filter(F.col("kind") == BIGRAMS).groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((IDS + 1) * IDS)
     counts[pairs.column("key").to_numpy()] = pairs.column("n").to_numpy()
@@ -114,7 +114,11 @@ def _network(gathered: DataFrame, epochs: int) -> dict:
     single = (counts.sum(axis=0) + 0.5) / (counts.sum() + 0.5 * IDS)
     bigram = np.log((counts + 4 * single) / (counts.sum(axis=1, keepdims=True) + 4))
     network = attention.initial(IDS, bigram)
-    data = gathered.filter(F.col("kind") == BLOCKS).orderBy("key", "data").limit(SAMPLE_BLOCKS).select("data").toArrow().column("data").to_pylist()
+    # There are at least tokens / BLOCK blocks, their keys spread evenly over 64 bits: a range
+    # that holds a few times the sample bounds what is sorted, however many tasks there were.
+    share = min(1.0, 4 * SAMPLE_BLOCKS * attention.BLOCK / max(1, tokens))
+    near = F.col("key") <= F.lit(int(-(1 << 63) + share * ((1 << 64) - 1025)))
+    data = gathered.filter((F.col("kind") == BLOCKS) & near).orderBy("key", "data").limit(SAMPLE_BLOCKS).select("data").toArrow().column("data").to_pylist()
     if not data:
         return network
     n = attention.BLOCK
@@ -186,7 +190,7 @@ def score(docs: DataFrame, *, epochs: int = 4) -> DataFrame:
     key = head.column("key").to_numpy() if head else np.zeros(0, np.int64)
     value = np.log10(head.column("c").to_numpy() + 1.0) if head else np.zeros(0)
     order = np.argsort(key)
-    scorer = Scorer(_network(gathered, epochs), np.log10(n + v + 1), np.log10(n_docs + 1), n_docs > 0, key[order], value[order], left == 0)
+    scorer = Scorer(_network(gathered, total, epochs), np.log10(n + v + 1), np.log10(n_docs + 1), n_docs > 0, key[order], value[order], left == 0)
     shared = spark.sparkContext.broadcast(scorer)
 
     scored = storage.materialise(texts.mapInArrow(_score(shared), "doc_id long, held_out boolean, n_tokens long, known long, seen double, model double, rest array<long>"), base, "scored")
