@@ -20,7 +20,7 @@ def parser() -> argparse.ArgumentParser:
     build = sub.add_parser("build", help="read tournament and rule files, write the tables")
     build.add_argument("root", help="folder with Tournaments/")
     build.add_argument("rules", help="folder with Formats/")
-    build.add_argument("--format", default="Pauper")
+    build.add_argument("--format", required=True, help="format whose tournaments and rules are read")
     for name in ("report", "cards"):
         p = sub.add_parser(name)
         p.add_argument("--since", default=str(datetime.date.today() - datetime.timedelta(days=90)))

@@ -38,7 +38,7 @@ def _size(column: str) -> Column:
     return F.coalesce(F.size(column), F.lit(0))
 
 
-def load(spark: SparkSession, root: str, rules: RuleSet, fmt: str = "Pauper") -> Tables:
+def load(spark: SparkSession, root: str, rules: RuleSet, fmt: str) -> Tables:
     """Read, filter and label all tournaments of a format.
 
     The first file of each address counts, in path order. Ids are dense and follow path and

@@ -27,7 +27,7 @@ def _events(files: DataFrame, fmt: str) -> DataFrame:
     return first_per(rows, "uri", F.split("path", "/"))
 
 
-def follow(spark: SparkSession, root: str, out: str, checkpoint: str, fmt: str = "Pauper"):
+def follow(spark: SparkSession, root: str, out: str, checkpoint: str, fmt: str):
     """Append the events of files that are new since the last call; returns the finished query."""
     stream = (
         spark.readStream.schema(SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(f"{root}/Tournaments").withColumn("path", F.col("_metadata.file_path"))

@@ -51,10 +51,10 @@ def test_payload_names_no_player(event):  # noqa: F811
 def test_stream_appends_new_events_once(spark, tmp_path):
     day = tmp_path / "in" / "Tournaments" / "MTGO" / "2026"
     day.mkdir(parents=True)
-    put = lambda name, uri: (day / name).write_text(json.dumps({"Tournament": {"Date": "2026-01-02", "Name": "League", "Uri": uri, "Formats": "pauper"}, "Decks": [], "Standings": [{"Player": "x"}]}))
+    put = lambda name, uri: (day / name).write_text(json.dumps({"Tournament": {"Date": "2026-01-02", "Name": "League", "Uri": uri, "Formats": "legacy"}, "Decks": [], "Standings": [{"Player": "x"}]}))
     put("a.json", "u1")
     put("b.json", "u1")
-    args = (spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"))
+    args = (spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), "Legacy")
     follow(*args)
     put("c.json", "u1")
     put("d.json", "u2")
