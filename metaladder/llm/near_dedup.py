@@ -7,8 +7,9 @@
 3. Representatives that share a bucket (band and its bins) are tied to two hubs of it, the
    smallest and the largest: stars, so pairs grow with the bucket's size, not its square.
 4. Every candidate is confirmed on the full sets, and confirmed links are closed to components.
-5. Buckets whose members are still in several components get further stars around hubs that
-   differ from bucket to bucket; what they confirm is joined to the components.
+5. Members of buckets that still hold several components meet in an exact join: two sets that
+   are near share one of their rarest shingles (a prefix filter with positions), so every link
+   between components that any bucket holds is found. What it confirms is joined to them.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import storage
@@ -25,8 +26,6 @@ from . import textops as T
 from .graph import connected_components
 
 SHINGLE, PERCENT, BINS, ROWS = 5, 75, 128, 4
-#: Hubs of a second star in each bucket, and how many buckets make it worth confirming.
-PROBES, PROBE_BUCKETS = 6, 3
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -65,6 +64,7 @@ def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
 SETS = pa.schema([("id", pa.int64()), ("items", pa.binary())])
+ITEMS = pa.schema([("id", pa.int64()), ("comp", pa.int64()), ("size", pa.int64()), ("item", pa.int64())])
 
 
 def _signed(shingle: int, bins: int, rows: int):
@@ -95,6 +95,18 @@ def _sets(shingle: int):
     return run
 
 
+def _items(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in T.slices(whole, "text"):
+                row, value = T.shingle_sets(T.Words(*T.buffers(b.column("text")), lower=True), shingle)
+                size = np.bincount(row, minlength=b.num_rows)
+                ids, comp = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "comp"))
+                yield T.columns(ITEMS, id=ids[row], comp=comp[row], size=size[row], item=value.view(np.int64))
+
+    return run
+
+
 def common(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two sorted sets."""
     if len(a) > len(b):
@@ -131,28 +143,42 @@ def stars(shared: DataFrame, base: str) -> DataFrame:
     return storage.materialise(tied.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct(), base, "pairs")
 
 
-def probes(shared: DataFrame, found: DataFrame, pairs: DataFrame, base: str, hubs: int = PROBES, least: int = PROBE_BUCKETS) -> DataFrame:
-    """``a, b``: further stars in buckets whose members are not yet in one component.
-
-    ``hubs`` members of each such bucket meet the members of other components, where a member
-    shares ``least`` such buckets with a hub's component. Half of the hubs are picked by hash,
-    different ones in different buckets; the other half are members that share most buckets,
-    which lie near the middle of their group. Pairs looked at before are left out.
-    """
-    central = storage.materialise(shared.groupBy("doc_id").agg(F.count(F.lit(1)).alias("weight")), base, "central")
-    named = shared.select("doc_id", "bucket").join(central, "doc_id").join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "bucket", "weight", F.coalesce("component", "doc_id").alias("comp"))
+def unsettled(shared: DataFrame, found: DataFrame, base: str) -> DataFrame:
+    """``doc_id, comp``: members of buckets that hold several components, each once."""
+    named = shared.select("doc_id", "bucket").join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "bucket", F.coalesce("component", "doc_id").alias("comp"))
     named = storage.materialise(named, base, "named")
     mixed = named.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("bucket")
-    rows = storage.materialise(named.join(mixed, "bucket"), base, "mixed")
-    chance = lambda i: F.xxhash64("doc_id", "bucket", F.lit(i))
-    middle = lambda i: -(4 * F.col("weight") + F.pmod(chance(i), F.lit(8)))
-    best = [F.min(F.struct((chance(i) if i % 2 else middle(i)).alias("h"), F.col("doc_id").alias("hub"), F.col("comp").alias("hub_comp"))) for i in range(hubs)]
-    picked = rows.groupBy("bucket").agg(F.array_distinct(F.transform(F.array(*best), lambda p: F.struct(p["hub"].alias("hub"), p["hub_comp"].alias("hub_comp")))).alias("p"))
-    picked = storage.materialise(picked.select("bucket", F.inline("p")), base, "picked")
-    met = storage.materialise(rows.join(picked, "bucket").filter("comp <> hub_comp").select("doc_id", "hub", "hub_comp", "bucket"), base, "met")
-    often = met.groupBy("doc_id", "hub_comp").agg(F.count_distinct("bucket").alias("n")).filter(F.col("n") >= least).select("doc_id", "hub_comp")
-    new = met.join(often, ["doc_id", "hub_comp"]).select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
-    return storage.materialise(new.join(pairs, ["a", "b"], "left_anti"), base, "pairs")
+    return storage.materialise(named.join(mixed, "bucket", "left_semi").select("doc_id", "comp").distinct(), base, "unsettled")
+
+
+def across(texts: DataFrame, members: DataFrame, base: str, shingle: int, percent: int) -> DataFrame:
+    """``a, b`` (a < b): among ``members``, every near pair of two components, and some others.
+
+    Shingles are ordered by the number of members that hold them. Near sets of sizes x and y
+    have at least ``percent * (x + y) / (100 + percent)`` shingles in common, all of them from
+    the first common one on, so that one is among the ``x - 2 * percent * x / (100 + percent) + 1``
+    first of the smaller set and the ``y - percent * y / 100 + 1`` first of the larger. What one
+    component alone holds comes first and can join nothing. Shingles meet in a join that
+    adaptive execution can split, without pairs inside the component that holds one most.
+    """
+    wanted = texts.join(members.hint("merge"), "doc_id").select("doc_id", "comp", "text").dropDuplicates(["doc_id"])
+    items = storage.materialise(wanted.mapInArrow(_items(shingle), "id long, comp long, size long, item long"), base, "items")
+    open_ = items.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("item", "n")
+    rare = Window.partitionBy("id").orderBy("n", "item")
+    held = items.join(open_.hint("merge"), "item").withColumns({"k": F.row_number().over(rare), "open": F.count(F.lit(1)).over(Window.partitionBy("id"))})
+    # ``left``: how many of the set's shingles there are from this one on.
+    held = held.select("id", "comp", "size", "item", (F.col("open") - F.col("k") + 1).alias("left")).filter(f"100 * left >= {percent} * size")
+    held = storage.materialise(held, base, "held")
+    most = held.groupBy("item", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("item").agg(F.max(F.struct("n", "comp")).alias("m"), F.count(F.lit(1)).alias("comps"))
+    posted = storage.materialise(held.join(most.filter("comps > 1").select("item", F.col("m.comp").alias("top")).hint("merge"), "item"), base, "posted")
+    few = posted.filter(f"{100 + percent} * left >= {2 * percent} * size")
+    names = [F.col(c).alias(f"{c}_b") for c in ("id", "comp", "size", "left")]
+    near = f"comp <> comp_b and (size < size_b or size = size_b and id < id_b) and {100 + percent} * least(left, left_b) >= {percent} * (size + size_b)"
+    met = [x.join(y.select("item", *names).hint("merge"), "item").filter(near) for x, y in ((few.filter("comp <> top"), posted), (few.filter("comp = top"), posted.filter("comp <> top")))]
+    pairs = met[0].union(met[1]).select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
+    pairs = storage.materialise(pairs, base, "pairs")
+    storage.drop(texts.sparkSession, *(f"{base}/{x}" for x in ("items", "held", "posted")))
+    return pairs
 
 
 def confirmed(texts: DataFrame, pairs: DataFrame, base: str, shingle: int, percent: int) -> DataFrame:
@@ -196,7 +222,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     links = confirmed(texts, pairs, base, shingle, percent)
     found = storage.materialise(connected_components(links, base), base, "components")
     again = f"{base}/again"
-    more = confirmed(texts, probes(shared, found, pairs, again), again, shingle, percent)
+    more = confirmed(texts, across(texts, unsettled(shared, found, again), again, shingle, percent), again, shingle, percent)
     found = storage.materialise(connected_components(links.union(more), again), again, "components")
     named = members.join(found, members.rep == found.node, "left").select("doc_id", F.coalesce("component", "rep").alias("component_id")).distinct()
     return signed.select("doc_id", "n_shingles").join(named, "doc_id", "left").select(

@@ -93,6 +93,21 @@ def test_near_duplicates_at_the_threshold(spark):
     assert got == want and len(set(want.values())) < len(rows)
 
 
+def _template_pairs(n, seed=4):
+    """Documents on one template, 0.72 alike, in which pairs are 0.76 alike."""
+    rng = random.Random(seed)
+    ids = rng.sample(range(10 * n), 2 * n)
+    base = " ".join(f"t{i}" for i in range(300))
+    return [(d, " ".join([base, *(f"p{k // 2}x{i}" for i in range(9)), *(f"o{k}x{i}" for i in range(48))])) for k, d in enumerate(ids)]
+
+
+def test_near_duplicates_on_a_template_below_the_threshold(spark):
+    rows = _template_pairs(150)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {d: c for d, (_, c, _) in brute.near(rows).items()}
+    assert len(set(want.values())) == 150 and got == want
+
+
 def test_densified_bins_agree_in_proportion_to_similarity():
     rng = np.random.default_rng(1)
     rates = []
