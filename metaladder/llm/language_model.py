@@ -6,8 +6,11 @@ times the word's smoothed share among the training words of that id,
 ``(c + 1) / (N_id + V_id + 1)``; words never seen share the last slot.
 
 One pass over the training documents gathers, all of it growing with the corpus: word counts,
-bigram counts of ids, and (bounded by ``SAMPLE_BLOCKS``, the least hashes of all blocks) the
-blocks that attention is trained on. A second pass scores. The counts of the most frequent
+bigram counts of ids, and the ids of every document. Attention is trained on all of them:
+documents are dealt by the hash of their id into shards of about ``SHARD`` tokens, in an epoch
+each shard trains on all its blocks from the network of the epoch before, and the shards'
+parameters are averaged in Spark, weighted by blocks. Shards depend on the rows alone, not on
+partitions. A last pass scores. The counts of the most frequent
 words, at most ``HEAD`` of them, are broadcast; all other words meet their counts in a join.
 """
 
@@ -23,9 +26,9 @@ from pyspark.sql import functions as F
 from . import attention, storage
 from . import textops as T
 
-IDS, HEAD, SAMPLE_BLOCKS, TASK_BLOCKS = 128, 1 << 20, 16_384, 1024
-WORDS, BIGRAMS, BLOCKS = 0, 1, 2
-FLUSH = 750_000
+IDS, HEAD, SHARD = 128, 1 << 20, 1 << 19
+WORDS, BIGRAMS, RUNS = 0, 1, 2
+FLUSH, RATE = 750_000, 4e-3
 
 GATHERED = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("id", pa.int32()), ("n", pa.int64()), ("data", pa.binary())])
 SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("seen", pa.float64()), ("model", pa.float64()), ("rest", pa.list_(pa.int64()))])
@@ -60,7 +63,7 @@ def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bigrams = np.zeros((IDS + 1) * IDS, np.int64)
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    priority, blocks, size, ends = np.zeros(0, np.int64), np.zeros((0, 4 * attention.BLOCK + 1), np.uint8), 0, 0
+    size, ends = 0, 0
 
     def words_of() -> pa.RecordBatch:
         key, ids, n = (np.concatenate(x) for x in zip(*held))
@@ -75,16 +78,10 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, place, n = _summed(words.hash.view(np.int64), np.ones(len(ids), np.int64))
             held.append((key, ids[place], n))
             size, ends = size + len(key), ends + b.num_rows
-            inputs, before, first, targets, real = attention.layout(*with_ends(words, ids), IDS)
+            runs, edge = with_ends(words, ids)
+            inputs, _, _, targets, real = attention.layout(runs, edge, IDS)
             bigrams += np.bincount((inputs * IDS + targets)[real], minlength=len(bigrams))
-            # The blocks with the least hashes of what they hold and of the document's id.
-            doc = np.repeat(b.column("doc_id").to_numpy(zero_copy_only=False), -(-np.diff(words.first + np.arange(b.num_rows + 1)) // attention.BLOCK))
-            mine = T.mix(T.mix(doc.view(np.uint64)) + np.arange(len(doc), dtype=np.uint64) * T.GRAM).view(np.int64)
-            some = np.argsort(mine)[:TASK_BLOCKS]
-            fresh = np.concatenate([inputs[some], before[some], targets[some], real[some], first[some, None]], axis=1).astype(np.uint8)
-            priority, blocks = np.concatenate([priority, mine[some]]), np.concatenate([blocks, fresh])
-            least = np.argsort(priority)[:TASK_BLOCKS]
-            priority, blocks = priority[least], blocks[least]
+            yield T.columns(GATHERED, kind=np.full(b.num_rows, RUNS, np.int32), key=b.column("doc_id"), id=np.zeros(b.num_rows), n=np.diff(edge), data=T.binaries(runs.astype(np.uint8), edge))
             if size > FLUSH:
                 yield words_of()
                 held, size = [], 0
@@ -93,7 +90,6 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if ends:
         at = np.flatnonzero(bigrams)
         yield T.columns(GATHERED, kind=np.full(len(at), BIGRAMS, np.int32), key=at, id=np.zeros(len(at)), n=bigrams[at], data=pa.nulls(len(at), pa.binary()))
-        yield T.columns(GATHERED, kind=np.full(len(priority), BLOCKS, np.int32), key=priority, id=np.zeros(len(priority)), n=np.ones(len(priority)), data=[x.tobytes() for x in blocks])
 
 
 class Scorer:
@@ -106,6 +102,56 @@ class Scorer:
         self.key, self.value, self.complete = key, value, complete
 
 
+def _trained(shared, epoch: int, epochs: int):
+    """Parameters after one epoch of each shard, as sums weighted by blocks; rows come sorted by shard."""
+
+    def one(shard: int, runs: list[bytes]) -> tuple[int, np.ndarray]:
+        ids = np.frombuffer(b"".join(runs), np.uint8).astype(np.int64)
+        inputs, before, first, targets, real = attention.layout(ids, np.concatenate([[0], np.cumsum([len(x) for x in runs])]), IDS)
+        p = attention.train(shared.value, inputs, before, first, targets, real.astype(np.float32), epochs=1, rate=RATE * (1 - epoch / epochs), seed=11 + epochs * shard + epoch)
+        return len(inputs), np.concatenate([p[k].ravel() for k in sorted(p) if k != "bigram"]).astype(np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, runs, blocks, total = None, [], 0, 0.0
+
+        def close() -> None:
+            nonlocal blocks, total
+            if runs:
+                n, p = one(now, runs)
+                blocks, total = blocks + n, total + n * p
+
+        for b in batches:
+            for shard, data in zip(b.column("shard").to_pylist(), b.column("data").to_pylist()):
+                if shard != now:
+                    close()
+                    now, runs = shard, []
+                runs.append(data)
+        close()
+        if blocks:
+            yield pa.RecordBatch.from_pydict({"blocks": pa.array([blocks], pa.int64()), "total": pa.array([total.tolist()], pa.list_(pa.float64()))})
+
+    return run
+
+
+def _epoch(gathered: DataFrame, network: dict, tokens: int, epoch: int, epochs: int) -> tuple[dict, int]:
+    """The network after an epoch over all blocks, and how many there were."""
+    shards = max(1, -(-tokens // SHARD))
+    shared = gathered.sparkSession.sparkContext.broadcast(network)
+    dealt = gathered.filter(F.col("kind") == RUNS).select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "key", "data")
+    done = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "key", "data").select("shard", "data").mapInArrow(_trained(shared, epoch, epochs), "blocks long, total array<double>")
+    parts = done.select("blocks", F.posexplode("total").alias("place", "v")).groupBy("place").agg(F.sum("v").alias("v"), F.sum("blocks").alias("blocks")).orderBy("place").toArrow()
+    shared.destroy()
+    if not parts.num_rows:
+        return network, 0
+    blocks = parts.column("blocks")[0].as_py()
+    flat, at, new = parts.column("v").to_numpy() / blocks, 0, {"bigram": network["bigram"]}
+    for k in sorted(k for k in network if k != "bigram"):
+        size = network[k].size
+        new[k] = flat[at : at + size].reshape(network[k].shape).astype(np.float32)
+        at += size
+    return new, blocks
+
+
 def _network(gathered: DataFrame, tokens: int, epochs: int) -> dict:
     pairs = gathered.filter(F.col("kind") == BIGRAMS).groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((IDS + 1) * IDS)
@@ -114,16 +160,9 @@ def _network(gathered: DataFrame, tokens: int, epochs: int) -> dict:
     single = (counts.sum(axis=0) + 0.5) / (counts.sum() + 0.5 * IDS)
     bigram = np.log((counts + 4 * single) / (counts.sum(axis=1, keepdims=True) + 4))
     network = attention.initial(IDS, bigram)
-    # There are at least tokens / BLOCK blocks, their keys spread evenly over 64 bits: a range
-    # that holds a few times the sample bounds what is sorted, however many tasks there were.
-    share = min(1.0, 4 * SAMPLE_BLOCKS * attention.BLOCK / max(1, tokens))
-    near = F.col("key") <= F.lit(int(-(1 << 63) + share * ((1 << 64) - 1025)))
-    data = gathered.filter((F.col("kind") == BLOCKS) & near).orderBy("key", "data").limit(SAMPLE_BLOCKS).select("data").toArrow().column("data").to_pylist()
-    if not data:
-        return network
-    n = attention.BLOCK
-    raw = np.frombuffer(b"".join(data), np.uint8).reshape(len(data), -1).astype(np.int64)
-    return attention.train(network, raw[:, :n], raw[:, n : 2 * n], raw[:, 4 * n] > 0, raw[:, 2 * n : 3 * n], raw[:, 3 * n : 4 * n].astype(np.float32), epochs=epochs)
+    for epoch in range(epochs if tokens else 0):
+        network, _ = _epoch(gathered, network, tokens, epoch, epochs)
+    return network
 
 
 def _score(shared):

@@ -376,6 +376,19 @@ def test_language_model(docs, rows, head, monkeypatch):
         assert r.score < 0
 
 
+def test_language_model_trains_on_every_block(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(d, " ".join(f"w{rng.randint(0, 40)}" for _ in range(800)), d % 5 == 0) for d in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    one, many = ({r.doc_id: r.score for r in language_model.score(docs.repartition(n), epochs=1).collect()} for n in (1, 5))
+    assert len(one) == 60 and all(math.isclose(one[d], many[d], rel_tol=1e-5) for d in one)
+    monkeypatch.setattr(language_model, "SHARD", 9000)  # several shards
+    runs = spark.createDataFrame([(language_model.RUNS, d, bytearray(i % 100 + 1 for i in range(801))) for d, _, out in rows if not out], "kind int, key long, data binary")
+    start = attention.initial(language_model.IDS, np.zeros((language_model.IDS + 1, language_model.IDS)))
+    after, blocks = language_model._epoch(runs, start, 48 * 801, 0, 1)
+    assert blocks == 48 * -(-801 // attention.BLOCK) and all(after[k].shape == start[k].shape for k in start) and after["out"].any()
+
+
 def test_mixing_reaches_its_targets(spark):
     rng = random.Random(8)
     cells = [(s, lang, t, rng.randint(2000, 90_000)) for s in "abcd" for lang in ("x", "y") for t in ("p", "q", "r")]
