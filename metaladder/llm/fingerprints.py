@@ -4,8 +4,8 @@ Every permutation is (a * x + b) modulo the prime 2**31 - 1, taken for all shing
 of texts at once; the least value of each, cut to 16 bits, makes the fingerprint. The share
 of equal components estimates the Jaccard similarity of two shingle sets.
 
-``similar`` finds likely pairs over a whole table by joining bands of components in Spark
-and verifies every candidate on the full shingle sets.
+``similar`` finds near pairs over a whole table by joining bands of components in Spark and
+verifies every candidate on the full shingle sets; ``with_classes`` adds the classes they make.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from . import near_dedup, storage
 from . import textops as T
 from .neighbours import ranged
 
-PERMUTATIONS, SHINGLE, ROWS = 64, 5, 4
+PERMUTATIONS, SHINGLE, ROWS = 64, 5, 3
 PRIME = np.uint64((1 << 31) - 1)
 EMPTY = np.uint16(0xFFFF)
 
@@ -125,15 +125,30 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield T.columns(schema, doc_id=b.column("doc_id"), fingerprint=[p.tobytes() for p in prints], bands=T.lists(keys[used].reshape(-1).view(np.int64), np.concatenate([[0], np.cumsum(used)]) * keys.shape[1], pa.int64()))
 
 
+def _linked(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    base = storage.workspace(docs.sparkSession, "similar")
+    texts = storage.pick(docs, "doc_id", "text")
+    banded = storage.materialise(texts.mapInArrow(_prints, "doc_id long, fingerprint binary, bands array<long>").select("doc_id", "bands"), base, "banded")
+    buckets = banded.select("doc_id", F.explode("bands").alias("bucket"))
+    links, found = near_dedup.linked(texts, buckets, base, SHINGLE, percent)
+    return storage.materialise(links.distinct(), base, "similar"), found
+
+
 def similar(docs: DataFrame, *, percent: int = near_dedup.PERCENT) -> DataFrame:
-    """``a, b`` with a < b: verified near pairs between hubs of fingerprint buckets and their members.
+    """``a, b`` with a < b: verified near pairs, enough of them to connect every class.
 
-    Candidates share a band of ``ROWS`` components with the smallest or the largest id of the
-    bucket; a pair is kept if the Jaccard similarity of its full shingle sets is at least
-    ``percent`` / 100. Components of these links are those of all links that a band finds, as
-    long as the hub is near; texts without words have no partner.
+    Members of a bucket (a band of ``ROWS`` components) meet its smallest and largest id, and
+    those of buckets that still hold several classes meet in an exact join; a pair is kept if
+    the Jaccard similarity of its full shingle sets is at least ``percent`` / 100. A pair at
+    0.75 shares none of the 21 bands with probability 1e-5. Texts without words have no partner.
     """
-    base = storage.workspace(docs.sparkSession, "similar")
-    texts = storage.pick(docs, "doc_id", "text")
-    banded = storage.materialise(texts.mapInArrow(_prints, "doc_id long, fingerprint binary, bands array<long>"), base, "banded")
-    return near_dedup.confirmed(texts, near_dedup.stars(near_dedup.shared_buckets(banded.select("doc_id", F.explode("bands").alias("bucket")), base), base), base, SHINGLE, percent)
+    return _linked(docs, percent)[0]
+
+
+def with_classes(docs: DataFrame, *, percent: int = near_dedup.PERCENT) -> DataFrame:
+    """``with_neighbours`` plus class_id, the smallest id of the near pairs' component, and
+    n_links, the pairs of ``similar`` the document is in; its own id and 0 without a partner."""
+    links, found = _linked(docs, percent)
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    classes = found.join(degree, "node").select(F.col("node").alias("doc_id"), F.col("component").alias("class_id"), "n_links")
+    return with_neighbours(docs).join(classes.hint("merge"), "doc_id", "left").withColumns({"class_id": F.coalesce("class_id", "doc_id"), "n_links": F.coalesce("n_links", F.lit(0))})

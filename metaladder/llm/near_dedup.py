@@ -194,6 +194,20 @@ def confirmed(texts: DataFrame, pairs: DataFrame, base: str, shingle: int, perce
     return links
 
 
+def linked(texts: DataFrame, buckets: DataFrame, base: str, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Confirmed links ``a, b``, and components ``node, component``, of members that share a bucket (doc_id, bucket).
+
+    All links between members of one bucket are in a component; not every one is listed.
+    """
+    shared = shared_buckets(buckets, base)
+    links = confirmed(texts, stars(shared, base), base, shingle, percent)
+    found = storage.materialise(connected_components(links, base), base, "components")
+    again = f"{base}/again"
+    more = confirmed(texts, across(texts, unsettled(shared, found, again), again, shingle, percent), again, shingle, percent)
+    links = links.union(more)
+    return links, storage.materialise(connected_components(links, again), again, "components")
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, bins: int = BINS, rows: int = ROWS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (doc_id, text).
 
@@ -217,13 +231,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
 
     heads = full.join(members.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
     buckets = heads.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = shared_buckets(buckets, base)
-    pairs = stars(shared, base)
-    links = confirmed(texts, pairs, base, shingle, percent)
-    found = storage.materialise(connected_components(links, base), base, "components")
-    again = f"{base}/again"
-    more = confirmed(texts, across(texts, unsettled(shared, found, again), again, shingle, percent), again, shingle, percent)
-    found = storage.materialise(connected_components(links.union(more), again), again, "components")
+    _, found = linked(texts, buckets, base, shingle, percent)
     named = members.join(found, members.rep == found.node, "left").select("doc_id", F.coalesce("component", "rep").alias("component_id")).distinct()
     return signed.select("doc_id", "n_shingles").join(named, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("component_id", "doc_id") == F.col("doc_id")).alias("kept")

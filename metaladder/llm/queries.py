@@ -69,8 +69,8 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MinHash fingerprints of all documents, of their edited texts, and their likeness."""
-    return fingerprints.with_neighbours(_documents(spark, sf_dir))
+    """MinHash fingerprints of all documents, of their edited texts, their likeness, and classes of verified near pairs."""
+    return fingerprints.with_classes(_documents(spark, sf_dir))
 
 
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from metaladder.llm import (
     sentencepiece, storage, substring_dedup, token_records, warc,
 )
 from metaladder.llm.graph import connected_components
-from metaladder.llm.queries import tokenizer_path
+from metaladder.llm.queries import op9_fingerprints, tokenizer_path
 
 from . import brute
 
@@ -320,6 +320,14 @@ def test_similar_pairs_are_verified(docs, rows):
     assert pairs and all(a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) for a, b in pairs)
 
 
+def test_op9_query_finds_every_class(spark, tmp_path):
+    rows = _template_pairs(100)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in op9_fingerprints(spark, str(tmp_path)).collect()}
+    want = {d: c for d, (_, c, _) in brute.near(rows).items()}
+    assert len(set(want.values())) == 100 and got == {d: (c, 1) for d, c in want.items()}
+
+
 def test_attention_is_causal_and_normalised():
     rng = np.random.default_rng(0)
     p = attention.initial(9, rng.standard_normal((10, 9)) * 0 - np.log(9))
