@@ -5,20 +5,38 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_OWN: list[str] = []
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in ``spark.checkpoint.dir`` and read from there.
 
-    A folder of this process serves only where that setting is absent.
+def shared_root(spark: SparkSession) -> str:
+    """URI of the folder in ``spark.checkpoint.dir``.
+
+    Where that is unset a folder of this process serves, which executors of this machine
+    alone can see: on any other than a local master that is an error.
     """
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="metaladder-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+    return f"file://{_OWN[0]}"
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """URI of a new folder (not yet created) under the shared one."""
+    return f"{shared_root(spark)}/metaladder/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read from there."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        path = context.getConf().get("spark.checkpoint.dir", "")
-        if not path:
-            path = tempfile.mkdtemp(prefix="metaladder-")
-            atexit.register(shutil.rmtree, path, ignore_errors=True)
-        context.setCheckpointDir(path)
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()

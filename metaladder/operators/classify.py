@@ -77,6 +77,11 @@ class RuleSet:
         return cls(rules("Archetypes"), rules("Fallbacks"), lands, spells)
 
 
+def land_names(spark, rules: RuleSet) -> DataFrame:
+    """``land``: the names under which the rule files list lands."""
+    return spark.createDataFrame([(x,) for x in sorted(rules.lands)], "land string")
+
+
 def spaced(name: str) -> str:
     """The driver-side twin of ``labels.spaced``."""
     return " ".join(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name.replace("Generic", "")).split())

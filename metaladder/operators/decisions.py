@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.intervals import Z, newcombe
 from ..functions.labels import folded
+from . import records
 from .filters import known_opponent
 from .metagame import record
 
@@ -190,3 +191,44 @@ def tiers(lists: DataFrame, x: DataFrame) -> DataFrame:
     per = per.join(sizes(lists), "group").withColumn("play_rate", F.col("p") / F.col("lists"))
     tier = F.when(F.col("play_rate") >= CORE, "core").when((F.col("play_rate") >= 0.08) & (F.col("p") >= 5), "flex").when(F.col("p") >= 3, "spice")
     return per.withColumn("tier", tier).filter("tier is not null").select("group", "card", "tier", "play_rate", "avg_copies", ((F.col("tier") == "core") & (F.col("m") / F.col("p") < 0.75)).alias("varies"))
+
+
+def count_choice(lists: DataFrame, x: DataFrame, tallies: DataFrame, replicates: int = 0) -> DataFrame:
+    """For cards that nearly all play in different numbers: the two highest listed copy counts compared.
+
+    ``group, card, more, fewer`` and the columns of ``records.against``, lists with more
+    copies first. Counts in less than ``MIN_OPTION`` of the lists are not listed.
+    """
+    counted = kinds(lists, x).filter("kind = 'count'").select("group", "card")
+    listed = options(lists, x, MIN_OPTION).join(counted, ["group", "card"])
+    high = F.row_number().over(W.partitionBy("group", "card").orderBy(F.desc("copies")))
+    two = listed.filter("copies > 0").withColumn("place", high).filter("place <= 2").groupBy("group", "card").agg(F.max("copies").alias("more"), F.min("copies").alias("fewer")).filter("more > fewer")
+    held = x.join(two, ["group", "card"])
+    keys = ["group", "card", "more", "fewer"]
+    side = lambda c: records.of(held.filter(F.col("count") == F.col(c)).select(*keys, "deck_id"), tallies, keys, replicates)
+    return records.against(side("more"), side("fewer"), keys)
+
+
+def option_sides(lists: DataFrame, x: DataFrame, tallies: DataFrame, replicates: int = 0, *, by: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, comparisons with the group's other lists) of every option of the cards that vary.
+
+    Options are the listed copy counts of a count card, 0 included, and yes and no of an
+    in-or-out card: ``group, card, option, share``. With ``by`` (a column of the tallies) the
+    comparisons are per value of it, those of "no" left out, for they mirror "yes". Lists
+    that do not play a card are the group less those that do.
+    """
+    kind = kinds(lists, x).filter("kind <> 'fixed' and play_rate >= 0.03").select("group", "card", "kind", "play_rate")
+    also = [by] if by else []
+    everyone = records.of(lists.select("group", "deck_id"), tallies, ["group", *also], replicates)
+    label = F.when(F.col("kind") == "count", F.col("count").cast("string")).otherwise("yes")
+    own = records.of(x.join(kind, ["group", "card"]).select("group", "card", "kind", label.alias("option"), "deck_id"), tallies, ["group", "card", "kind", "option", *also], replicates)
+    playing = records.summed(own, ["group", "card", "kind", *also], replicates)
+    absent = records.outside(playing, everyone, ["group", *also]).withColumn("option", F.when(F.col("kind") == "count", "0").otherwise("no"))
+    sides = own.unionByName(absent)
+    listed = options(lists, x, MIN_OPTION).join(kind.filter("kind = 'count'"), ["group", "card"]).select("group", "card", F.col("copies").cast("string").alias("option"), "share")
+    both = F.explode(F.array(F.struct(F.lit("yes").alias("option"), F.col("play_rate").alias("share")), F.struct(F.lit("no").alias("option"), (1 - F.col("play_rate")).alias("share"))))
+    listed = listed.unionByName(kind.filter("kind = 'inout'").select("group", "card", both.alias("o")).select("group", "card", "o.*"))
+    sides = sides.drop("kind").join(listed, ["group", "card", "option"])
+    keys = ["group", "card", "option", "share"]
+    compared = sides if not by else sides.filter("option <> 'no'")
+    return records.shown(sides), records.against(compared, records.outside(compared, everyone, ["group", *also]), [*keys, *also])

@@ -69,3 +69,19 @@ def in_short(matchups: DataFrame) -> DataFrame:
     best = F.max_by("opp_archetype", F.struct("ci_low", F.col("opp_archetype")))
     worst = F.min_by("opp_archetype", F.struct("ci_high", F.col("opp_archetype")))
     return matchups.groupBy("archetype").agg(best.alias("surest_good"), F.max("ci_low").alias("good_low"), worst.alias("surest_bad"), F.min("ci_high").alias("bad_high"))
+
+
+def in_short_lists(lists: DataFrame, against_rest: DataFrame, sizes: DataFrame, kinds: DataFrame, options: DataFrame) -> DataFrame:
+    """Per archetype: its commonest build, the build farthest from its other lists, its most open card.
+
+    ``against_rest`` compares builds (group, path) with the rest, ``sizes`` counts their
+    lists. Open is the card that varies whose commonest option is least common.
+    """
+    first = lambda df, *order: df.withColumn("_n", F.row_number().over(W.partitionBy("group").orderBy(*order))).filter("_n = 1").drop("_n")
+    common = first(sizes, F.desc("lists"), "path").select("group", F.col("path").alias("common_build"))
+    far = first(against_rest.withColumn("delta", F.round("delta", 9)), F.desc(F.abs("delta")), "path").select("group", F.col("path").alias("far_build"), F.col("delta").alias("far_delta"))
+    share = F.when(F.col("kind") == "count", F.col("share")).otherwise(F.greatest("play_rate", 1 - F.col("play_rate")))
+    tops = options.join(kinds.filter("kind <> 'fixed' and play_rate >= 0.03"), ["group", "card"]).groupBy("group", "card").agg(F.max(share).alias("open_share"))
+    open_ = first(tops, "open_share", "card").select("group", F.col("card").alias("open_card"), "open_share")
+    groups_ = lists.select("group").distinct()
+    return groups_.join(common, "group", "left").join(far, "group", "left").join(open_, "group", "left").withColumnRenamed("group", "archetype")

@@ -75,12 +75,11 @@ def report(tables: Tables, out: str, since: str | None = None, until: str | None
         markdown(["archetype", *names], [[r.archetype, *(percent(r[n]) for n in names)] for r in matrix.collect()]),
         markdown(["archetype", *(f"{s} {c}" for s in scopes for c in ("share", "win rate")), "skew"], [[r.archetype, *(percent(r[f"{s}_{c}"]) for s in scopes for c in ("share", "win_rate")), "yes" if r.skew else ""] for r in metagame.scope_comparison(period, scopes, names).collect()]),
     ]
-    _write(f"{out}/README.md", "\n\n".join(sections) + "\n", tables)
+    write_text(tables.matches.sparkSession, f"{out}/README.md", "\n\n".join(sections) + "\n")
 
 
-def _write(path: str, text: str, tables: Tables) -> None:
-    """A small text file beside the CSVs, through the file system that they are on."""
-    spark = tables.matches.sparkSession
+def write_text(spark, path: str, text: str) -> None:
+    """A small text file through the file system of its path."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
     stream.write(bytearray(text.encode()))

@@ -39,6 +39,22 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(events, decks, _cards(lines, read("part")), _matches(orders))
 
 
+def variants(spark: SparkSession, sf_dir: str) -> Tables:
+    """The same lists with cards that have builds, slots and copy counts to find.
+
+    Urgent orders hold one pair of cards and the others another pair; two cards share four
+    places in proportions that follow the order's number; one card comes in two numbers, one
+    in or out, one always the same.
+    """
+    t = load(spark, sf_dir)
+    k = F.col("deck_id")
+    urgent = F.substring("color", 1, 1) < "3"
+    crates = F.lit(4) - (k % 3 == 0).cast("long") - (k % 7 == 0).cast("long")
+    counts = {"Express": F.when(urgent, 4), "Courier": F.when(urgent, 4), "Freight": F.when(~urgent, 4), "Barge": F.when(~urgent, 4), "Crate": crates, "Pallet": 4 - crates, "Fuel": 17 + k % 2, "Manifest": F.lit(4), "Insurance": F.when(F.floor(k / 5) % 3 == 0, 2)}
+    entries = F.array(*(F.struct(F.lit(c).alias("card"), F.lit("main").alias("board"), F.coalesce(n, F.lit(0)).cast("long").alias("count")) for c, n in counts.items()))
+    return Tables(t.events, t.decks, t.decks.select("deck_id", F.inline(entries)).filter("count > 0"), t.matches)
+
+
 def _cards(lines: DataFrame, parts: DataFrame) -> DataFrame:
     board = F.when(F.col("l_linestatus") == "O", "side").otherwise("main")
     return lines.join(parts.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("deck_id"), F.col("p_brand").alias("card"), board.alias("board")).agg(F.sum("l_quantity").cast("long").alias("count"))

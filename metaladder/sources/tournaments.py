@@ -45,7 +45,12 @@ def load(spark: SparkSession, root: str, rules: RuleSet, fmt: str) -> Tables:
     list order; numbering them needs one ordered pass over the events, of which there is one
     row per tournament.
     """
-    files = read_files(spark, root).filter(F.lower(F.coalesce("Tournament.Formats", F.lit(""))) == fmt.lower())
+    return tables_of(read_files(spark, root), rules, fmt)
+
+
+def tables_of(files: DataFrame, rules: RuleSet, fmt: str) -> Tables:
+    """The tables of documents in the form of ``SCHEMA`` with the path of each."""
+    files = files.filter(F.lower(F.coalesce("Tournament.Formats", F.lit(""))) == fmt.lower())
     parts = F.split("path", "/")
     files = files.withColumn("uri", F.coalesce(F.nullif(F.col("Tournament.Uri"), F.lit("")), "path"))
     files = first_per(files, "uri", parts)
