@@ -6,12 +6,13 @@ times the word's smoothed share among the training words of that id,
 ``(c + 1) / (N_id + V_id + 1)``; words never seen share the last slot.
 
 One pass over the training documents gathers, all of it growing with the corpus: word counts,
-bigram counts of ids, and the ids of every document. Attention is trained on all of them:
-documents are dealt by the hash of their id into shards of about ``SHARD`` tokens, in an epoch
-each shard trains on all its blocks from the network of the epoch before, and the shards'
-parameters are averaged in Spark, weighted by blocks. Shards depend on the rows alone, not on
-partitions. A last pass scores. The counts of the most frequent
-words, at most ``HEAD`` of them, are broadcast; all other words meet their counts in a join.
+bigram counts of ids, and the ids of every document. Attention is trained once on all of
+them, in ``ROUNDS`` rounds: a round takes the documents that its hash of their ids deals to
+it, in shards of about ``SHARD`` tokens; each shard trains from the network of the round
+before, and the shards' parameters are averaged in Spark, weighted by blocks, as exact sums
+of fixed-point numbers. Shards depend on the rows alone, not on partitions, and so does the
+network. A last pass scores. The counts of the most frequent words, at most ``HEAD`` of
+them, are broadcast; all other words meet their counts in a join.
 """
 
 from __future__ import annotations
@@ -26,9 +27,11 @@ from pyspark.sql import functions as F
 from . import attention, storage
 from . import textops as T
 
-IDS, HEAD, SHARD = 128, 1 << 20, 1 << 19
+IDS, HEAD, SHARD, ROUNDS = 128, 1 << 20, 1 << 19, 4
+#: Ids of one run that a row holds at most; longer documents are dealt in several runs.
+RUN = 1 << 16
 WORDS, BIGRAMS, RUNS = 0, 1, 2
-FLUSH, RATE = 750_000, 4e-3
+FLUSH, RATE, FIXED_POINT = 750_000, 6e-3, 1 << 24
 
 GATHERED = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("id", pa.int32()), ("n", pa.int64()), ("data", pa.binary())])
 SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("seen", pa.float64()), ("model", pa.float64()), ("rest", pa.list_(pa.int64()))])
@@ -81,7 +84,11 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             runs, edge = with_ends(words, ids)
             inputs, _, _, targets, real = attention.layout(runs, edge, IDS)
             bigrams += np.bincount((inputs * IDS + targets)[real], minlength=len(bigrams))
-            yield T.columns(GATHERED, kind=np.full(b.num_rows, RUNS, np.int32), key=b.column("doc_id"), id=np.zeros(b.num_rows), n=np.diff(edge), data=T.binaries(runs.astype(np.uint8), edge))
+            parts = -(-np.diff(edge) // RUN)
+            row, part = np.repeat(np.arange(b.num_rows), parts), T.ragged(np.zeros(b.num_rows, np.int64), parts)
+            cuts = np.append(edge[row] + part * RUN, edge[-1])
+            doc_ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            yield T.columns(GATHERED, kind=np.full(len(row), RUNS, np.int32), key=doc_ids[row], id=part, n=np.diff(cuts), data=T.binaries(runs.astype(np.uint8), cuts))
             if size > FLUSH:
                 yield words_of()
                 held, size = [], 0
@@ -102,66 +109,66 @@ class Scorer:
         self.key, self.value, self.complete = key, value, complete
 
 
-def _trained(shared, epoch: int, epochs: int):
-    """Parameters after one epoch of each shard, as sums weighted by blocks; rows come sorted by shard."""
+def _flat(p: dict) -> np.ndarray:
+    return np.concatenate([p[k].ravel() for k in sorted(p) if k not in attention.FIXED])
+
+
+def _trained(shared, turn: int):
+    """Parameters after training on each shard, as sums weighted by blocks; rows come sorted by shard."""
 
     def one(shard: int, runs: list[bytes]) -> tuple[int, np.ndarray]:
         ids = np.frombuffer(b"".join(runs), np.uint8).astype(np.int64)
         inputs, before, first, targets, real = attention.layout(ids, np.concatenate([[0], np.cumsum([len(x) for x in runs])]), IDS)
-        p = attention.train(shared.value, inputs, before, first, targets, real.astype(np.float32), epochs=1, rate=RATE * (1 - epoch / epochs), seed=11 + epochs * shard + epoch)
-        return len(inputs), np.concatenate([p[k].ravel() for k in sorted(p) if k != "bigram"]).astype(np.float64)
+        p = attention.train(shared.value, inputs, before, first, targets, real.astype(np.float32), rate=RATE * (1 - turn / ROUNDS), seed=11 + ROUNDS * shard + turn)
+        return len(inputs), np.rint(_flat(p).astype(np.float64) * FIXED_POINT).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, runs, blocks, total = None, [], 0, 0.0
+        now, runs = None, []
 
-        def close() -> None:
-            nonlocal blocks, total
+        def close() -> Iterator[pa.RecordBatch]:
             if runs:
                 n, p = one(now, runs)
-                blocks, total = blocks + n, total + n * p
+                yield pa.RecordBatch.from_pydict({"blocks": pa.array([n], pa.int64()), "total": pa.array([p], pa.list_(pa.int64()))})
 
         for b in batches:
             for shard, data in zip(b.column("shard").to_pylist(), b.column("data").to_pylist()):
                 if shard != now:
-                    close()
+                    yield from close()
                     now, runs = shard, []
                 runs.append(data)
-        close()
-        if blocks:
-            yield pa.RecordBatch.from_pydict({"blocks": pa.array([blocks], pa.int64()), "total": pa.array([total.tolist()], pa.list_(pa.float64()))})
+        yield from close()
 
     return run
 
 
-def _epoch(gathered: DataFrame, network: dict, tokens: int, epoch: int, epochs: int) -> tuple[dict, int]:
-    """The network after an epoch over all blocks, and how many there were."""
-    shards = max(1, -(-tokens // SHARD))
+def _round(gathered: DataFrame, network: dict, tokens: int, turn: int) -> tuple[dict, int]:
+    """The network after a round, and the blocks it was trained on."""
+    shards = max(1, -(-tokens // (ROUNDS * SHARD)))
     shared = gathered.sparkSession.sparkContext.broadcast(network)
-    dealt = gathered.filter(F.col("kind") == RUNS).select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "key", "data")
-    done = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "key", "data").select("shard", "data").mapInArrow(_trained(shared, epoch, epochs), "blocks long, total array<double>")
-    parts = done.select("blocks", F.posexplode("total").alias("place", "v")).groupBy("place").agg(F.sum("v").alias("v"), F.sum("blocks").alias("blocks")).orderBy("place").toArrow()
+    mine = gathered.filter((F.col("kind") == RUNS) & (F.pmod(F.xxhash64(F.lit(1), "key", "id"), F.lit(ROUNDS)) == turn))
+    dealt = mine.select(F.pmod(F.xxhash64(F.lit(2), "key", "id"), F.lit(shards)).cast("int").alias("shard"), "key", "id", "data")
+    done = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "key", "id", "data").select("shard", "data").mapInArrow(_trained(shared, turn), "blocks long, total array<long>")
+    exact = lambda c: F.sum(F.col(c).cast("decimal(38,0)")).cast("double").alias(c)
+    parts = done.select("blocks", F.posexplode("total").alias("place", "v")).withColumn("v", F.col("v") * F.col("blocks")).groupBy("place").agg(exact("v"), exact("blocks")).orderBy("place").toArrow()
     shared.destroy()
     if not parts.num_rows:
         return network, 0
     blocks = parts.column("blocks")[0].as_py()
-    flat, at, new = parts.column("v").to_numpy() / blocks, 0, {"bigram": network["bigram"]}
-    for k in sorted(k for k in network if k != "bigram"):
+    flat, at, new = parts.column("v").to_numpy() / blocks / FIXED_POINT, 0, {k: network[k] for k in attention.FIXED}
+    for k in sorted(k for k in network if k not in attention.FIXED):
         size = network[k].size
         new[k] = flat[at : at + size].reshape(network[k].shape).astype(np.float32)
         at += size
-    return new, blocks
+    return new, int(blocks)
 
 
-def _network(gathered: DataFrame, tokens: int, epochs: int) -> dict:
+def _network(gathered: DataFrame, tokens: int) -> dict:
     pairs = gathered.filter(F.col("kind") == BIGRAMS).groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((IDS + 1) * IDS)
     counts[pairs.column("key").to_numpy()] = pairs.column("n").to_numpy()
-    counts = counts.reshape(IDS + 1, IDS)
-    single = (counts.sum(axis=0) + 0.5) / (counts.sum() + 0.5 * IDS)
-    bigram = np.log((counts + 4 * single) / (counts.sum(axis=1, keepdims=True) + 4))
-    network = attention.initial(IDS, bigram)
-    for epoch in range(epochs if tokens else 0):
-        network, _ = _epoch(gathered, network, tokens, epoch, epochs)
+    network = attention.initial(counts.reshape(IDS + 1, IDS))
+    for turn in range(ROUNDS if tokens else 0):
+        network, _ = _round(gathered, network, tokens, turn)
     return network
 
 
@@ -193,16 +200,16 @@ def _score(shared):
     return run
 
 
-def score(docs: DataFrame, *, epochs: int = 4) -> DataFrame:
+def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     ``docs`` has doc_id, text and held_out; rows that are not held out train. Tokens are the
     words (A-Z lower-cased) and one end. base_score sums log10((c + 1) / (N + V + 1)) over the
     tokens; score is the model's log10 probability of the text. A null, empty or blank text
-    is its end alone. Without training rows all words are unseen and N = V = 0. Rows with
-    equal ids and texts count each on their own and get equal scores; other columns are
-    ignored.
-    Rows without an id are left out. An empty table gives an empty result.
+    is its end alone. Without training rows all words are unseen and N = V = 0. Every row
+    counts on its own, also where its id occurs again with the same or another text; equal
+    texts get equal scores. Other columns are ignored. Rows without an id are left out. An
+    empty table gives an empty result. A text is scored in one task whatever its length.
     """
     spark = docs.sparkSession
     base = storage.workspace(spark, "lm")
@@ -229,14 +236,16 @@ def score(docs: DataFrame, *, epochs: int = 4) -> DataFrame:
     key = head.column("key").to_numpy() if head else np.zeros(0, np.int64)
     value = np.log10(head.column("c").to_numpy() + 1.0) if head else np.zeros(0)
     order = np.argsort(key)
-    scorer = Scorer(_network(gathered, total, epochs), np.log10(n + v + 1), np.log10(n_docs + 1), n_docs > 0, key[order], value[order], left == 0)
+    scorer = Scorer(_network(gathered, total), np.log10(n + v + 1), np.log10(n_docs + 1), n_docs > 0, key[order], value[order], left == 0)
     shared = spark.sparkContext.broadcast(scorer)
 
     scored = storage.materialise(texts.mapInArrow(_score(shared), "doc_id long, held_out boolean, n_tokens long, known long, seen double, model double, rest array<long>"), base, "scored")
-    loose = scored.filter(F.size("rest") > 0).select("doc_id", "rest").dropDuplicates(["doc_id"]).select("doc_id", F.explode("rest").alias("key"))
+    # Rows of one id may have different texts, so rare words are looked up by what they are.
+    scored = scored.withColumn("lm_words", F.xxhash64("rest"))
+    loose = scored.filter(F.size("rest") > 0).select("doc_id", "lm_words", "rest").dropDuplicates(["doc_id", "lm_words"]).select("doc_id", "lm_words", F.explode("rest").alias("key"))
     rare = counts.filter(F.col("c") < least) if least is not None else counts
-    met = loose.join(rare.select("key", "c").hint("merge"), "key").groupBy("doc_id").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("c") + 1.0)).alias("extra"))
-    both = scored.drop("rest").join(met, "doc_id", "left")
+    met = loose.join(rare.select("key", "c").hint("merge"), "key").groupBy("doc_id", "lm_words").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("c") + 1.0)).alias("extra"))
+    both = scored.drop("rest").join(met, ["doc_id", "lm_words"], "left")
     seen = F.col("seen") + F.coalesce("extra", F.lit(0.0))
     return both.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),

@@ -1,6 +1,7 @@
 """Plain Python versions of the contracts, for small tables."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -69,3 +70,29 @@ def repeats(docs, n=20):
         kept = [x for x, g in zip(w, gone) if not g]
         out[d] = (len(w), sum(gone), hashlib.sha256(b" ".join(kept)).hexdigest())
     return out
+
+
+def attention(p, ids, block):
+    """Log probability of every id of one run, position by position, over the full softmax."""
+    n = len(p["embed"]) - 1
+    inputs, out = [n, *ids[:-1]], []
+    for t, target in enumerate(ids):
+        lo = max(0, t // block * block - block)
+        x = p["embed"][inputs[t]]
+        scores = [(x @ p["q"]) @ (p["embed"][inputs[j]] @ p["k"]) / math.sqrt(len(x)) + p["near"][t - j] for j in range(lo, t + 1)]
+        top = max(scores)
+        shares = [math.exp(s - top) for s in scores]
+        a = sum(w * (p["embed"][inputs[j]] @ p["v"]) for w, j in zip(shares, range(lo, t + 1))) / sum(shares)
+        h = x + a @ p["o"]
+        g = h + (h @ p["up"]).clip(0) @ p["down"]
+        group = g @ p["group"] + p["group_prior"][inputs[t]]
+        probability = {}
+        z = sum(math.exp(v) for v in group)
+        for c in range(len(group)):
+            member = g @ p["member"][c] + p["member_prior"][inputs[t]][c]
+            y = sum(math.exp(v) for v in member)
+            for k in range(len(member)):
+                probability[c * len(member) + k] = math.exp(group[c]) / z * math.exp(member[k]) / y
+        assert abs(sum(probability.values()) - 1) < 1e-9
+        out.append(math.log(probability[target]))
+    return out
