@@ -167,7 +167,7 @@ def slot_leads(t, lists, x, nm):
     return B.slot_leads(lists, x, B.slots(lists, x)).withColumn("cards", F.array_join("cards", ", "))
 
 
-_SPLITS = "splits AS (SELECT \"group\", p, q, a, b, count(*) AS lists, CAST(sum(n) AS BIGINT) AS m, sum(w) AS w, row_number() OVER (PARTITION BY \"group\", p ORDER BY count(*) DESC, a, b) AS rn FROM fill LEFT JOIN pl USING (deck_id) GROUP BY ALL)"
+_SPLITS = "splits AS (SELECT \"group\", p, q, a, b, count(*) AS lists, CAST(sum(n) AS BIGINT) AS m, sum(w) AS w, row_number() OVER (PARTITION BY \"group\", p ORDER BY count(*) DESC, a, b) AS rn FROM fill LEFT JOIN pl USING (deck_id) GROUP BY \"group\", p, q, a, b)"
 
 
 @query(O.query("SELECT \"group\", p || ', ' || q AS cards, a || ' ' || b AS split, round(lists / n::DOUBLE, 9) AS share, w AS wins, m AS matches FROM splits JOIN (SELECT \"group\", lists AS n FROM size) USING (\"group\") WHERE rn <= 4 AND lists / n::DOUBLE >= 0.05", *ALL, *TALLY, _FILL, _SPLITS))
