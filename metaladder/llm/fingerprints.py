@@ -105,11 +105,12 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_neighbours(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    ``docs`` has unique doc_id and text; a null text counts as empty. The next document is
-    the one with the next larger id, after the last the first; a table of one row is its own
-    next. Two texts without words have equal fingerprints (all components empty) and
-    likeness 1. An empty table gives an empty result. Other columns are ignored.
-    Rows without an id are left out.
+    ``docs`` has doc_id and text; a null text counts as empty. The next document is the one
+    with the next larger id, after the last the first; a table of one row is its own next.
+    Rows that repeat an id follow each other in the order of their texts, and every row is
+    returned. Two texts without words have equal fingerprints (all components empty) and
+    likeness 1. An empty table gives an empty result. Other columns are ignored. Rows without
+    an id are left out. A text is held whole in one task, however long.
     """
     texts = storage.pick(docs, "doc_id", "text").fillna("", ["text"])
     return ranged(texts).select("doc_id", "text", "range", "tail").mapInArrow(_pairs, OUT_DDL)
@@ -131,7 +132,8 @@ def _linked(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     banded = storage.materialise(texts.mapInArrow(_prints, "doc_id long, fingerprint binary, bands array<long>").select("doc_id", "bands"), base, "banded")
     buckets = banded.select("doc_id", F.explode("bands").alias("bucket"))
     links, found = near_dedup.linked(texts, buckets, base, SHINGLE, percent)
-    return storage.materialise(links.distinct(), base, "similar"), found
+    storage.drop(docs.sparkSession, f"{base}/banded")
+    return storage.materialise(links.distinct(), base, "similar", heavy=True), found
 
 
 def similar(docs: DataFrame, *, percent: int = near_dedup.PERCENT) -> DataFrame:
@@ -147,7 +149,8 @@ def similar(docs: DataFrame, *, percent: int = near_dedup.PERCENT) -> DataFrame:
 
 def with_classes(docs: DataFrame, *, percent: int = near_dedup.PERCENT) -> DataFrame:
     """``with_neighbours`` plus class_id, the smallest id of the near pairs' component, and
-    n_links, the pairs of ``similar`` the document is in; its own id and 0 without a partner."""
+    n_links, the pairs of ``similar`` the document is in; its own id and 0 without a partner.
+    Rows that repeat an id count as one document here."""
     links, found = _linked(docs, percent)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     classes = found.join(degree, "node").select(F.col("node").alias("doc_id"), F.col("component").alias("class_id"), "n_links")

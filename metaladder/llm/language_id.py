@@ -54,13 +54,16 @@ def _count(buckets: int, orders: tuple[int, ...]):
         for whole in batches:
             for b in T.slices(whole, "text"):
                 points, at = code_points(b.column("text"))
-                langs = b.column("lang").to_pylist()
-                for lang in sorted(set(langs)):
-                    sums = total.setdefault(lang, np.zeros(buckets, np.int64))
-                    mine = np.repeat(np.array([x == lang for x in langs]), np.diff(at))
-                    for k in orders:
-                        h = hashed(points, k, buckets)
-                        sums += np.bincount(h[mine[: len(h)] & mine[k - 1 :]], minlength=buckets)
+                names = sorted(set(b.column("lang").to_pylist()))
+                code = np.repeat(np.searchsorted(names, b.column("lang").to_pylist()), np.diff(at))
+                row = np.repeat(np.arange(b.num_rows), np.diff(at))
+                sums = np.zeros(len(names) * buckets, np.int64)
+                for k in orders:
+                    h = hashed(points, k, buckets)
+                    inside = row[: len(h)] == row[k - 1 :]  # n-grams that run over a text's end are left out
+                    sums += np.bincount((code[: len(h)] * buckets + h)[inside], minlength=len(sums))
+                for lang, own in zip(names, sums.reshape(len(names), buckets)):
+                    total[lang] = total.get(lang, 0) + own
         for lang, sums in total.items():
             at = np.flatnonzero(sums)
             yield T.columns(COUNTS, lang=[lang] * len(at), bucket=at, n=sums[at])
@@ -79,15 +82,17 @@ def train(docs: DataFrame, *, buckets: int = BUCKETS, orders: tuple[int, ...] =
     """Fit on every row of ``docs`` (text, lang) whose text and lang are not null.
 
     Priors are uniform, so how often a language occurs in the training rows decides nothing.
-    No usable row gives a model without languages, which calls everything undetermined.
+    No usable row gives a model without languages, which calls everything undetermined, and
+    so does an empty table. Repeated rows count each. More than ``MAX_LANGUAGES`` languages
+    are an error, for the model would have no bound.
     """
     rows = storage.unclashed(docs, "text", "lang").select("text", "lang").filter("text is not null and lang is not null")
-    n_langs = F.count_distinct("lang")
+    n_langs = rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
+    if n_langs > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     counted = rows.mapInArrow(_count(buckets, orders), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = counted.limit(MAX_LANGUAGES * buckets + 1).toArrow()
+    found = counted.toArrow()  # at most MAX_LANGUAGES * buckets rows
     languages = sorted(set(found.column("lang").to_pylist()))
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages: {rows.agg(n_langs).first()[0]}")
     sums = np.zeros((buckets, len(languages)))
     place = {x: i for i, x in enumerate(languages)}
     sums[found.column("bucket").to_numpy(), [place[x] for x in found.column("lang").to_pylist()]] = found.column("n").to_numpy()
@@ -123,6 +128,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     A text that is null or has no letter is ``und`` with score 0. Of equally likely languages
     the alphabetically first wins. Columns named lang_pred or score are replaced.
+    Every row is returned, repeated ones and those without an id too; an empty table gives an
+    empty result. A text is read whole in one task, however long.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)

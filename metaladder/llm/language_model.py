@@ -215,8 +215,8 @@ def score(docs: DataFrame) -> DataFrame:
     base = storage.workspace(spark, "lm")
     texts = storage.pick(docs, "doc_id", "text", "held_out").fillna(False, ["held_out"])
     training = texts.filter("not held_out").select("doc_id", "text")
-    gathered = storage.materialise(training.mapInArrow(_gather, "kind int, key long, id int, n long, data binary"), base, "gathered")
-    counts = storage.materialise(gathered.filter(F.col("kind") == WORDS).groupBy("key").agg(F.max("id").alias("id"), F.sum("n").alias("c")), base, "counts")
+    gathered = storage.materialise(training.mapInArrow(_gather, "kind int, key long, id int, n long, data binary"), base, "gathered", heavy=True)
+    counts = storage.materialise(gathered.filter(F.col("kind") == WORDS).groupBy("key").agg(F.max("id").alias("id"), F.sum("n").alias("c")), base, "counts", heavy=True)
     n_docs = training.count()
     by_id = counts.groupBy("id").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()  # at most IDS rows
     n, v = np.zeros(IDS), np.zeros(IDS)
@@ -239,7 +239,7 @@ def score(docs: DataFrame) -> DataFrame:
     scorer = Scorer(_network(gathered, total), np.log10(n + v + 1), np.log10(n_docs + 1), n_docs > 0, key[order], value[order], left == 0)
     shared = spark.sparkContext.broadcast(scorer)
 
-    scored = storage.materialise(texts.mapInArrow(_score(shared), "doc_id long, held_out boolean, n_tokens long, known long, seen double, model double, rest array<long>"), base, "scored")
+    scored = storage.materialise(texts.mapInArrow(_score(shared), "doc_id long, held_out boolean, n_tokens long, known long, seen double, model double, rest array<long>"), base, "scored", heavy=True)
     # Rows of one id may have different texts, so rare words are looked up by what they are.
     scored = scored.withColumn("lm_words", F.xxhash64("rest"))
     loose = scored.filter(F.size("rest") > 0).select("doc_id", "lm_words", "rest").dropDuplicates(["doc_id", "lm_words"]).select("doc_id", "lm_words", F.explode("rest").alias("key"))

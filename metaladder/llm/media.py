@@ -155,7 +155,7 @@ def _single(words: bytes):
 
 
 def _assembled(batches: Iterator[pa.RecordBatch], words: bytes) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (doc_id, place) to one row per payload."""
+    """Rows sorted by (payload_key, place) to one row per payload."""
     import zstandard
 
     unpacker, now, key, parts = zstandard.ZstdDecompressor(**_shared(words)), None, b"", []
@@ -168,11 +168,11 @@ def _assembled(batches: Iterator[pa.RecordBatch], words: bytes) -> Iterator[pa.R
 
     for b in batches:
         rows = []
-        for doc_id, name, digest, frame in zip(*(b.column(c).to_pylist() for c in ("doc_id", "payload_key", "digest", "frame"))):
-            if doc_id != now:
+        for name, digest, frame in zip(*(b.column(c).to_pylist() for c in ("payload_key", "digest", "frame"))):
+            if name != now:
                 if parts:
                     rows.append(done())
-                now, key, parts = doc_id, name, []
+                now, key, parts = name, name, []
             parts.append((digest, frame))
         if rows:
             yield _batch(rows)
@@ -194,29 +194,30 @@ def store_and_read(docs: DataFrame, *, unit: int = UNIT) -> DataFrame:
     media_sha256, feature, n_chunks for every row. The payload is the text's UTF-8 bytes (a
     null counts as empty) with zero bytes up to a positive multiple of ``unit``; the stored
     form is the payload's frames in order. Equal texts, and texts that differ only in zero
-    bytes at the end, share a payload. Repeated rows are all returned; an empty table stores
-    nothing. Other columns are ignored.
-    Rows without an id are left out.
+    bytes at the end, share a payload. Repeated rows and rows of one id with different texts
+    are all returned; an empty table stores nothing. Other columns are ignored. Rows without
+    an id are left out. A text is cut in one task, however long; its chunks are at most
+    ``MAX`` bytes.
     """
     spark = docs.sparkSession
     base = storage.workspace(spark, "media")
     texts = storage.pick(docs, "doc_id", "text")
     recipes = storage.materialise(texts.mapInArrow(_recipes(unit), "doc_id long, n_bytes long, payload_key binary, digests array<binary>"), base, "recipes")
     words = dictionary(texts)
-    heads = storage.materialise(recipes.groupBy("payload_key").agg(F.min("doc_id").alias("doc_id")), base, "heads")
+    heads = storage.materialise(recipes.groupBy("payload_key").agg(F.min("doc_id").alias("doc_id")), base, "heads", heavy=True)
     payloads = recipes.select("payload_key", "doc_id", "digests").join(heads.hint("merge"), ["payload_key", "doc_id"]).distinct()
-    payloads = storage.materialise(payloads, base, "payloads")
+    payloads = storage.materialise(payloads, base, "payloads", heavy=True)
     storage.drop(spark, f"{base}/heads")
     one = F.size("digests") == 1
     uses = payloads.select("doc_id", one.alias("one"), F.explode(F.array_distinct("digests")).alias("digest"))
-    holders = storage.materialise(uses.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.bool_or("one").alias("single"), F.bool_or(~F.col("one")).alias("part")), base, "holders")
+    holders = storage.materialise(uses.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.bool_or("one").alias("single"), F.bool_or(~F.col("one")).alias("part")), base, "holders", heavy=True)
     # The document is part of the key, so a digest that many documents share is spread out.
     framed = texts.mapInArrow(_frames(unit, words), "doc_id long, digest binary, frame binary").join(holders.hint("merge"), ["digest", "doc_id"])
     spark.createDataFrame([(bytearray(words),)], "words binary").write.parquet(f"{base}/dictionary")  # the store's, for later readers
-    store = storage.materialise(framed.dropDuplicates(["digest", "doc_id"]).select("digest", "single", "part", "frame"), base, "store")
+    store = storage.materialise(framed.dropDuplicates(["digest", "doc_id"]).select("digest", "single", "part", "frame"), base, "store", heavy=True)
 
     alone = store.filter("single").select("digest", "frame").mapInArrow(_single(words), FEATURE_DDL)
-    listed = payloads.filter(~one).select("doc_id", "payload_key", F.posexplode("digests").alias("place", "digest"))
-    found = listed.join(store.filter("part").select("digest", "frame").hint("merge"), "digest").repartition("doc_id").sortWithinPartitions("doc_id", "place")
-    features = storage.materialise(alone.union(found.select("doc_id", "payload_key", "digest", "frame").mapInArrow(lambda batches: _assembled(batches, words), FEATURE_DDL)), base, "features")
+    listed = payloads.filter(~one).select("payload_key", F.posexplode("digests").alias("place", "digest"))
+    found = listed.join(store.filter("part").select("digest", "frame").hint("merge"), "digest").repartition("payload_key").sortWithinPartitions("payload_key", "place")
+    features = storage.materialise(alone.union(found.select("payload_key", "digest", "frame").mapInArrow(lambda batches: _assembled(batches, words), FEATURE_DDL)), base, "features", heavy=True)
     return recipes.select("doc_id", "n_bytes", "payload_key", F.size("digests").alias("n_chunks")).join(features, "payload_key").select("doc_id", "n_bytes", *FEATURES.names[1:], "n_chunks")

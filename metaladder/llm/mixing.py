@@ -83,9 +83,8 @@ def rake(cells: DataFrame, base: str, *, wanted: Mapping[str, float | Mapping[st
             sums = now.groupBy(d).agg(F.sum("weight").alias("held")).join(shares[d], d)
             factor = sums.select(d, F.when(F.col("held") > 0, F.col("share") / F.col("held")).otherwise(0.0).alias("factor"))
             now = now.join(factor, d, "left").withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(0.0))).drop("factor")
-            if d == dims[-1]:
-                now = now.withColumn("weight", F.least(F.col("weight"), F.col("tokens") / F.lit(budget)))
-            now = storage.materialise(now.select(*kept, "tokens", "weight"), base, f"raked-{turn}-{d}")
+        now = now.withColumn("weight", F.least(F.col("weight"), F.col("tokens") / F.lit(budget)))
+        now = storage.materialise(now.select(*kept, "tokens", "weight"), base, f"raked-{turn}")
     return now.withColumn("probability", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(budget) * F.col("weight") / F.col("tokens"))).otherwise(0.0))
 
 

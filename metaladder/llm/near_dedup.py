@@ -25,7 +25,7 @@ from . import storage
 from . import textops as T
 from .graph import connected_components
 
-SHINGLE, PERCENT, BINS, ROWS = 5, 75, 128, 4
+SHINGLE, PERCENT, BINS, ROWS, FILTER_BITS = 5, 75, 128, 4, 1 << 25
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -131,10 +131,23 @@ def _confirm(percent: int):
     return run
 
 
+def narrowed(texts: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """Rows of ``texts`` whose id is in ``ids`` (one column, id), and a few others, without a shuffle.
+
+    A Bloom filter of ``FILTER_BITS`` bits with one hash, as a table of at most ``FILTER_BITS
+    / 64`` rows, is broadcast, whatever the number of ids. An exact join follows it.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(F.lit(0x1D5), c), F.lit(FILTER_BITS))
+    bit = lambda c: F.expr(f"shiftleft(1L, cast({c} % 64 as int))")
+    words = ids.select(slot("id").alias("s")).select((F.col("s") / 64).cast("long").alias("nd_word"), bit("s").alias("b")).groupBy("nd_word").agg(F.bit_or("b").alias("nd_bits"))
+    marked = texts.withColumn("nd_slot", slot(column)).withColumn("nd_word", (F.col("nd_slot") / 64).cast("long"))
+    return marked.join(F.broadcast(words), "nd_word").filter(F.col("nd_bits").bitwiseAND(bit("nd_slot")) != 0).select(*texts.columns)
+
+
 def shared_buckets(buckets: DataFrame, base: str) -> DataFrame:
     """``doc_id, bucket, low, high`` of buckets with two members or more; low and high are their hubs."""
-    hubs = storage.materialise(buckets.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high"), base, "hubs")
-    return storage.materialise(buckets.join(hubs, "bucket").select("doc_id", "bucket", "low", "high"), base, "shared")
+    hubs = storage.materialise(buckets.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high"), base, "hubs", heavy=True)
+    return storage.materialise(buckets.join(hubs, "bucket").select("doc_id", "bucket", "low", "high"), base, "shared", heavy=True)
 
 
 def stars(shared: DataFrame, base: str) -> DataFrame:
@@ -161,8 +174,9 @@ def across(texts: DataFrame, members: DataFrame, base: str, shingle: int, percen
     component alone holds comes first and can join nothing. Shingles meet in a join that
     adaptive execution can split, without pairs inside the component that holds one most.
     """
-    wanted = texts.join(members.hint("merge"), "doc_id").select("doc_id", "comp", "text").dropDuplicates(["doc_id"])
-    items = storage.materialise(wanted.mapInArrow(_items(shingle), "id long, comp long, size long, item long"), base, "items")
+    near_by = narrowed(texts, members.select(F.col("doc_id").alias("id")))
+    wanted = near_by.join(members.hint("merge"), "doc_id").select("doc_id", "comp", "text").distinct()
+    items = storage.materialise(wanted.mapInArrow(_items(shingle), "id long, comp long, size long, item long").distinct(), base, "items", heavy=True)
     open_ = items.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("item", "n")
     rare = Window.partitionBy("id").orderBy("n", "item")
     held = items.join(open_.hint("merge"), "item").withColumns({"k": F.row_number().over(rare), "open": F.count(F.lit(1)).over(Window.partitionBy("id"))})
@@ -185,27 +199,37 @@ def confirmed(texts: DataFrame, pairs: DataFrame, base: str, shingle: int, perce
     """The pairs whose full shingle sets are near enough; only candidates' texts are moved."""
     # Merge joins at every size: what is small here grows with the corpus.
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = texts.withColumnRenamed("doc_id", "id").join(ends.hint("merge"), "id", "left_semi")
-    sets = storage.materialise(wanted.mapInArrow(_sets(shingle), "id long, items binary"), base, "sets")
+    wanted = narrowed(texts, ends).withColumnRenamed("doc_id", "id").join(ends.hint("merge"), "id", "left_semi")
+    sets = storage.materialise(wanted.mapInArrow(_sets(shingle), "id long, items binary").distinct(), base, "sets", heavy=True)
     sets_a, sets_b = (sets.select(F.col("id").alias(x), F.col("items").alias(f"items_{x}")).hint("merge") for x in "ab")
     met = pairs.join(sets_b, "b").join(sets_a, "a")
-    links = storage.materialise(met.select("a", "b", "items_a", "items_b").mapInArrow(_confirm(percent), "a long, b long"), base, "links")
+    links = storage.materialise(met.select("a", "b", "items_a", "items_b").mapInArrow(_confirm(percent), "a long, b long").distinct(), base, "links", heavy=True)
     storage.drop(texts.sparkSession, f"{base}/sets")
     return links
 
 
-def linked(texts: DataFrame, buckets: DataFrame, base: str, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def linked(texts: DataFrame, buckets: DataFrame, base: str, shingle: int, percent: int, given: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Confirmed links ``a, b``, and components ``node, component``, of members that share a bucket (doc_id, bucket).
 
     All links between members of one bucket are in a component; not every one is listed.
+    ``given`` links (a, b) count as confirmed.
     """
     shared = shared_buckets(buckets, base)
     links = confirmed(texts, stars(shared, base), base, shingle, percent)
+    if given is not None:
+        links = storage.materialise(links.union(given.select("a", "b")), base, "all-links")
     found = storage.materialise(connected_components(links, base), base, "components")
     again = f"{base}/again"
-    more = confirmed(texts, across(texts, unsettled(shared, found, again), again, shingle, percent), again, shingle, percent)
-    links = links.union(more)
-    return links, storage.materialise(connected_components(links, again), again, "components")
+    open_ = unsettled(shared, found, again)
+    storage.drop(texts.sparkSession, f"{base}/shared", f"{base}/hubs", f"{base}/pairs", f"{again}/named")
+    if open_.isEmpty():
+        return links, found
+    more = confirmed(texts, across(texts, open_, again, shingle, percent), again, shingle, percent)
+    if more.isEmpty():
+        return links, found
+    # Components found so far come back as stars, which close at once.
+    settled = found.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return links.union(more), storage.materialise(connected_components(settled.union(more), again), again, "components")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, bins: int = BINS, rows: int = ROWS) -> DataFrame:
@@ -213,10 +237,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
 
     Words are lower-cased (A-Z) and split at ASCII white space. Linked are documents whose
     sets satisfy ``100 * |A and B| >= percent * |A or B|``. A null or empty text, or one of
-    white space alone, has no shingles and is linked with nothing. Rows with a repeated id
-    and equal text are one document repeated; each row is returned. Ties need no rule: a
-    component's id is its smallest id. Other columns of ``docs`` are ignored.
-    Rows without an id are left out.
+    white space alone, has no shingles and is linked with nothing. Rows with one id are one
+    document, linked with whatever any of their texts is near to; each row is returned with
+    its own n_shingles. Ties need no rule: a component's id is its smallest id. Other columns
+    of ``docs`` are ignored. Rows without an id are left out, an empty table gives an empty
+    result, and a text is held whole in one task, however long.
 
     A pair at the threshold shares none of the ``bins / rows`` bands with probability
     ``(1 - 0.75 ** rows) ** (bins / rows)``, 5e-6 at the defaults.
@@ -227,12 +252,14 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     key = ["set_a", "set_b", "n_shingles"]
     full = signed.filter("n_shingles > 0")
     classes = storage.materialise(full.groupBy(*key).agg(F.min("doc_id").alias("rep")), base, "classes")
-    members = storage.materialise(full.select("doc_id", *key).join(classes, key).select("doc_id", "rep"), base, "members")
+    members = storage.materialise(full.select("doc_id", *key).join(classes, key).select("doc_id", "rep").distinct(), base, "members")
+    # The classes of an id that has several texts belong together.
+    several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last"), F.collect_set("rep").alias("reps")).filter("a < last").select("a", F.explode("reps").alias("b")).filter("a < b").distinct()
 
     heads = full.join(members.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
     buckets = heads.select("doc_id", F.explode("bands").alias("bucket"))
-    _, found = linked(texts, buckets, base, shingle, percent)
-    named = members.join(found, members.rep == found.node, "left").select("doc_id", F.coalesce("component", "rep").alias("component_id")).distinct()
+    _, found = linked(texts, buckets, base, shingle, percent, several)
+    named = members.join(found, members.rep == found.node, "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     return signed.select("doc_id", "n_shingles").join(named, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("component_id", "doc_id") == F.col("doc_id")).alias("kept")
     )

@@ -1,39 +1,20 @@
 """Places and files that the driver and every executor share.
 
 Everything that outlives a task goes to the folder named in ``spark.checkpoint.dir``, so a
-lost executor loses nothing. Where that setting is absent (local tests) a folder of this
-process is used instead.
+lost executor loses nothing (``lineage.shared_root``). Tables that a lazy result still reads
+stay there until the folder itself is cleared.
 """
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
 import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: list[str] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """URI of the shared folder; a private one only where the setting is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if root:
-        return root.rstrip("/")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="metaladder-"))
-        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
-    return f"file://{_LOCAL[0]}"
-
-
-def workspace(spark: SparkSession, name: str) -> str:
-    """URI of a new folder (not yet created) for one run of an operator."""
-    return f"{shared_root(spark)}/metaladder/{name}-{uuid.uuid4().hex[:12]}"
+from ..lineage import shared_root, workspace  # noqa: F401
 
 
 def pick(docs: DataFrame, *names: str, key: str = "doc_id") -> DataFrame:
@@ -75,13 +56,17 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.1)
 
 
-def materialise(df: DataFrame, base: str, name: str) -> DataFrame:
-    """Write ``df`` to the workspace and read it back: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, base: str, name: str, heavy: bool = False) -> DataFrame:
+    """Write ``df`` to the workspace and read it back: cuts lineage, survives lost executors.
+
+    After a ``heavy`` one, whose shuffle holds a good part of the input, its shuffle files go.
+    """
     spark = df.sparkSession
     path = f"{base}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     del df
-    release(spark)
+    if heavy:
+        release(spark)
     return spark.read.parquet(path)
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import storage
 from . import textops as T
 
-LENGTH, GRAM = 20, 6
+LENGTH, GRAM, STRETCH = 20, 6, 1 << 22
 LOW = np.uint64((1 << 24) - 1)
 
 SKETCHES = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("anchors", pa.list_(pa.int64()))])
@@ -41,20 +41,23 @@ def anchors(words: T.Words, length: int, gram: int) -> tuple[np.ndarray, np.ndar
     """(first word, anchor position) of every window, and the hash of every gram.
 
     The anchor is the leftmost least hash among the grams inside the window. Its upper 40
-    bits decide; positions in the low bits break ties to the left.
+    bits decide; positions in the low bits break ties to the left. Positions count within
+    stretches of ``STRETCH`` windows, so a run of texts may have any number of words.
     """
     g = T.grams(words.hash, gram)
-    m = length - gram + 1
-    if len(words.hash) < length:
+    m, n = length - gram + 1, len(words.hash) - length + 1
+    if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), g
-    if len(g) > int(LOW):
-        raise ValueError("a run of texts has too many words for one slice")
-    run, size = (g & ~LOW) | np.arange(len(g), dtype=np.uint64), 1
-    while size * 2 <= m:
-        run, size = np.minimum(run[:-size], run[size:]), size * 2
-    least = np.minimum(run[: len(g) - m + 1], run[m - size : len(g) - size + 1])
+    least = np.empty(n, np.int64)
+    for lo in range(0, n, STRETCH):
+        part = g[lo : lo + STRETCH + m - 1]
+        run, size = (part & ~LOW) | np.arange(len(part), dtype=np.uint64), 1
+        while size * 2 <= m:
+            run, size = np.minimum(run[:-size], run[size:]), size * 2
+        found = np.minimum(run[: len(part) - m + 1], run[m - size : len(part) - size + 1])
+        least[lo : lo + len(found)] = lo + (found & LOW).astype(np.int64)
     at = np.flatnonzero(T.in_one_row(words.row, length))
-    return at, (least[at] & LOW).astype(np.int64), g
+    return at, least[at], g
 
 
 def _sketches(length: int, gram: int):
@@ -108,7 +111,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield T.columns(schema, doc_id=b.column("doc_id"), seen=T.binaries(flat.view(np.uint8), 8 * at))
 
 
-KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("kept_sha256", pa.string())])
+KEPT = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("kept_sha256", pa.string())])
 
 
 def _remove(length: int):
@@ -144,43 +147,46 @@ def _remove(length: int):
                 for lo, hi in zip(edge[:-1], edge[1:]):
                     texts.append(data[lo : max(lo, hi - 1)])
                     sums.append(hashlib.sha256(texts[-1]).hexdigest())
-                yield T.columns(KEPT, doc_id=b.column("doc_id"), n_words=np.diff(words.first), n_removed=removed[words.first[1:]] - removed[words.first[:-1]], kept_text=pa.array(texts, pa.binary()).cast(pa.string()), kept_sha256=sums)
+                yield T.columns(KEPT, doc_id=b.column("doc_id"), text_hash=b.column("text_hash"), n_words=np.diff(words.first), n_removed=removed[words.first[1:]] - removed[words.first[:-1]], kept_text=pa.array(texts, pa.binary()).cast(pa.string()), kept_sha256=sums)
 
     return run
 
 
 def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_text, kept_sha256`` for every row of ``docs``.
+    """``doc_id, text_hash, n_words, n_removed, kept_text, kept_sha256`` for every row of ``docs``.
+
+    ``text_hash`` is Spark's xxhash64 of the text, to tell rows of one id apart.
 
     Words are maximal runs of non-white-space, unchanged; ``kept_text`` joins the kept ones
     with one blank. Null, empty and blank texts have no words and an empty kept text; a text
     shorter than a window keeps all its words. Ties need no rule, for (doc_id, start) orders
     all windows; where an id is repeated its rows are read as the same document, so its
-    windows do not remove each other. Other columns of ``docs`` are ignored.
-    Rows without an id are left out.
+    windows do not remove each other. Other columns of ``docs`` are ignored. Rows without an
+    id are left out, an empty table gives an empty result, and a text is held whole in one
+    task, however many words it has.
     """
     spark = docs.sparkSession
     base = storage.workspace(spark, "repeats")
     texts = storage.pick(docs, "doc_id", "text")
-    sketches = storage.materialise(texts.mapInArrow(_sketches(length, gram), "doc_id long, digest binary, anchors array<long>"), base, "sketches")
+    sketches = storage.materialise(texts.mapInArrow(_sketches(length, gram), "doc_id long, digest binary, anchors array<long>"), base, "sketches", heavy=True)
     groups = sketches.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id < last_id")
     groups = storage.materialise(groups.select("digest", "first_id"), base, "groups")
     copies = storage.materialise(sketches.select("doc_id", "digest").join(groups, "digest").filter("doc_id > first_id").select("doc_id").distinct(), base, "copies")
     found = sketches.select("doc_id", "anchors").join(copies.hint("merge"), "doc_id", "left_anti").select("doc_id", F.explode("anchors").alias("anchor"))
-    twice = storage.materialise(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), base, "twice")
+    twice = storage.materialise(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), base, "twice", heavy=True)
     seen = found.join(twice.hint("merge"), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("seen"))
-    seen = storage.materialise(seen.mapInArrow(_pack, "doc_id long, seen binary"), base, "seen")
+    seen = storage.materialise(seen.mapInArrow(_pack, "doc_id long, seen binary"), base, "seen", heavy=True)
     storage.drop(spark, f"{base}/sketches", f"{base}/twice", f"{base}/groups")
 
     windows = texts.join(seen.hint("merge"), "doc_id").mapInArrow(_windows(length, gram), "window long, doc_id long, start int")
-    windows = storage.materialise(windows, base, "windows")
+    windows = storage.materialise(windows, base, "windows", heavy=True)
     storage.drop(spark, f"{base}/seen")
     across = windows.filter("window is not null")
     first = across.groupBy("window").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id < last_id").select("window", "first_id")
-    first = storage.materialise(first, base, "first")
+    first = storage.materialise(first, base, "first", heavy=True)
     later = across.join(first.hint("merge"), "window").filter("doc_id > first_id").select("doc_id", "start")
     hits = later.union(windows.filter("window is null").select("doc_id", "start")).groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
-    hits = storage.materialise(hits.unionByName(copies.select("doc_id", F.lit(None).cast("array<int>").alias("starts"))).withColumn("hit", F.lit(True)), base, "hits")
+    hits = storage.materialise(hits.unionByName(copies.select("doc_id", F.lit(None).cast("array<int>").alias("starts"))).withColumn("hit", F.lit(True)), base, "hits", heavy=True)
     storage.drop(spark, f"{base}/windows", f"{base}/first", f"{base}/copies")
-    marked = texts.join(hits.hint("merge"), "doc_id", "left").select("doc_id", "text", "starts", (F.col("hit") & F.col("starts").isNull()).alias("copy"))
-    return marked.mapInArrow(_remove(length), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    marked = texts.join(hits.hint("merge"), "doc_id", "left").select("doc_id", F.xxhash64("text").alias("text_hash"), "text", "starts", (F.col("hit") & F.col("starts").isNull()).alias("copy"))
+    return marked.mapInArrow(_remove(length), "doc_id long, text_hash long, n_words long, n_removed long, kept_text string, kept_sha256 string")

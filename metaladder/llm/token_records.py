@@ -24,7 +24,7 @@ from .bpe_units import encoder
 END, FILE_BYTES, READ_BYTES = 2, 256 << 20, 4 << 20
 HEAD, FOOT, LEAD = 12, 4, 12
 
-FILES = pa.schema([("uri", pa.string()), ("index_uri", pa.string()), ("first_id", pa.int64()), ("n_records", pa.int64()), ("n_ids", pa.int64())])
+FILES = pa.schema([("uri", pa.string()), ("index_uri", pa.string()), ("first_id", pa.int64()), ("first_crc", pa.int64()), ("n_records", pa.int64()), ("n_ids", pa.int64())])
 READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
@@ -73,8 +73,9 @@ def unframe(raw: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, np.ndarra
 class _Pair:
     """A record file and its index, open for writing."""
 
-    def __init__(self, base: str, first_id: int):
-        self.data, self.index, self.first_id, self.n, self.ids = storage.TaskFile(base, ".records"), storage.TaskFile(base, ".index"), first_id, 0, 0
+    def __init__(self, base: str, first_id: int, first_crc: int):
+        self.data, self.index, self.n, self.ids = storage.TaskFile(base, ".records"), storage.TaskFile(base, ".index"), 0, 0
+        self.first = {"first_id": [first_id], "first_crc": [first_crc]}
 
     def add(self, doc_ids: np.ndarray, ids: np.ndarray, at: np.ndarray, width: int) -> None:
         raw, begin = frame(doc_ids, ids, at, width)
@@ -83,7 +84,7 @@ class _Pair:
         self.n, self.ids = self.n + len(doc_ids), self.ids + len(ids)
 
     def close(self) -> pa.RecordBatch:
-        return T.columns(FILES, uri=[self.data.close()], index_uri=[self.index.close()], first_id=[self.first_id], n_records=[self.n], n_ids=[self.ids])
+        return T.columns(FILES, uri=[self.data.close()], index_uri=[self.index.close()], **self.first, n_records=[self.n], n_ids=[self.ids])
 
 
 def _write(base: str, tokenizer: str, end: int):
@@ -95,7 +96,7 @@ def _write(base: str, tokenizer: str, end: int):
                 ids, at = encode(b.column("text"))
                 ids, at = np.insert(ids, at[1:], end), at + np.arange(len(at))
                 doc_ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-                pair = pair or _Pair(base, int(doc_ids[0]))
+                pair = pair or _Pair(base, int(doc_ids[0]), b.column("crc")[0].as_py())
                 pair.add(doc_ids, ids, at, width)
                 if pair.data.offset >= FILE_BYTES:
                     yield pair.close()
@@ -109,16 +110,17 @@ def _write(base: str, tokenizer: str, end: int):
 def write(docs: DataFrame, base: str, tokenizer: str, *, end: int = END) -> DataFrame:
     """Write one record per row of ``docs`` (doc_id, text), files in ascending id ranges.
 
-    Returns the table of files (uri, index_uri, first_id, n_records, n_ids). Nulls are empty
-    texts: a record of the end id alone. Rows with equal ids are ordered by their text. An
-    empty table writes no file. Other columns are ignored.
-    Rows without an id are left out.
+    Returns the table of files (uri, index_uri, first_id, first_crc, n_records, n_ids). Nulls
+    are empty texts: a record of the end id alone. Rows with equal ids are ordered by the
+    CRC-32 of their text, across files too. An empty table writes no file. Other columns are
+    ignored. Rows without an id are left out. A text is encoded whole in one task, however
+    long, and is one record.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = storage.pick(docs, "doc_id", "text").fillna("", ["text"])
-    ordered = texts.repartitionByRange(parts, "doc_id", F.crc32("text")).sortWithinPartitions("doc_id", F.crc32("text"))
-    return storage.materialise(ordered.mapInArrow(_write(f"{base}/records", tokenizer, end), "uri string, index_uri string, first_id long, n_records long, n_ids long"), base, "files")
+    ordered = texts.withColumn("crc", F.crc32("text")).repartitionByRange(parts, "doc_id", "crc").sortWithinPartitions("doc_id", "crc", "text")
+    return storage.materialise(ordered.mapInArrow(_write(f"{base}/records", tokenizer, end), "uri string, index_uri string, first_id long, first_crc long, n_records long, n_ids long"), base, "files", heavy=True)
 
 
 def records(uri: str, index_uri: str, limit: int = READ_BYTES) -> Iterator[list[tuple[int, np.ndarray]]]:
@@ -145,7 +147,7 @@ def read(files: DataFrame) -> DataFrame:
     the driver, to add up the files' id counts.
     """
     spark = files.sparkSession
-    rows = sorted(files.collect(), key=lambda r: (r.first_id, r.uri))
+    rows = sorted(files.collect(), key=lambda r: (r.first_id, r.first_crc, r.uri))
     base, before = [], 0
     for r in rows:
         base.append((r.uri, r.index_uri, before))

@@ -6,8 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct units remembered at most; the memory is emptied beyond that.
-REMEMBERED = 1_000_000
+#: Distinct units remembered at most, and bytes of them; the memory is emptied beyond that.
+REMEMBERED, REMEMBERED_BYTES = 1_000_000, 64 << 20
 
 
 class UnitMemory:
@@ -33,7 +33,7 @@ class UnitMemory:
 
     def codes(self, units: pa.Array) -> np.ndarray:
         """Places of the units in the memory; unknown ones are encoded first."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.known.nbytes > REMEMBERED_BYTES:
             self.clear()
         found = pc.index_in(units, value_set=self.known)
         place = found.to_numpy(zero_copy_only=False)

@@ -22,7 +22,7 @@ from . import storage
 from . import textops as T
 
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
-DICTIONARY_BYTES, SAMPLE_BYTES, ARCHIVE_BYTES, LEVEL = 64 << 10, 4 << 20, 128 << 20, 3
+DICTIONARY_BYTES, SAMPLE_BYTES, ARCHIVE_BYTES, LEVEL, SALTS = 64 << 10, 4 << 20, 128 << 20, 3, 16
 RESPONSE, REVISIT = "response", "revisit"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -134,10 +134,10 @@ class Writer:
 class Frames:
     """Records of one archive: the dictionary from the leading frame, then a frame at a time."""
 
-    def __init__(self, source, chunk: int = 1 << 20):
+    def __init__(self, source, chunk: int = 1 << 20, piece: int = 4 << 10):
         import zstandard
 
-        self.source, self.chunk = source, chunk
+        self.source, self.chunk, self.piece = source, chunk, piece
         magic, size = struct.unpack("<II", self._exactly(8))
         if magic != SKIPPABLE:
             raise ValueError("the archive does not begin with a dictionary frame")
@@ -153,23 +153,31 @@ class Frames:
         return data
 
     def __iter__(self) -> Iterator[bytes]:
-        rest, begun, out, left = b"", False, [], self.unpacker.decompressobj()
+        data, at, out, left = b"", 0, [], None
         while True:
-            data = rest or self.source.read(self.chunk)
-            if not data:
-                break
-            if not begun and len(data) < 4:
-                data += self.source.read(self.chunk)
-            if not begun and data[:4] != struct.pack("<I", FRAME):
-                raise ValueError("a frame without the Zstandard magic number")
-            begun = True
-            out.append(left.decompress(data))
-            rest = b""
+            if len(data) - at < 4:
+                more = self.source.read(self.chunk)
+                data, at = data[at:] + more, 0
+                if not more and not data:
+                    break
+            if left is None:
+                if data[at : at + 4] != struct.pack("<I", FRAME):
+                    raise ValueError("a frame without the Zstandard magic number")
+                left = self.unpacker.decompressobj()
+            # A piece at a time: what a frame leaves of it is copied, and records are small.
+            piece = memoryview(data)[at : at + self.piece]
+            if not len(piece):
+                raise ValueError("the archive ends inside a frame")
+            out.append(left.decompress(piece))
+            at += len(piece)
             if left.eof:
+                at -= len(left.unused_data)
                 yield b"".join(out)
-                rest, begun, out, left = left.unused_data, False, [], self.unpacker.decompressobj()
-        if begun:
-            raise ValueError("the archive ends inside a frame")
+                out, left = [], None
+            elif at == len(data):
+                data, at = self.source.read(self.chunk), 0
+                if not data:
+                    raise ValueError("the archive ends inside a frame")
 
 
 def originals(pages: DataFrame, base: str, min_revisit_bytes: int) -> DataFrame:
@@ -185,13 +193,16 @@ def write(pages: DataFrame, base: str, *, min_revisit_bytes: int = 0) -> DataFra
     A null html is an empty payload, a null url an empty target. Of equal payloads of at least
     ``min_revisit_bytes`` bytes the largest page_id is the response and the others revisit it;
     where that page_id itself repeats with equal html, each of its rows is a response. An empty
-    table writes no archive. Other columns are ignored.
-    Rows without a page_id are left out.
+    table writes no archive. Other columns are ignored. Rows without a page_id are left out.
+    A page of any length is one record, built whole in one task.
     """
     picked = storage.pick(pages, "page_id", "url", "html", key="page_id").fillna("", ["url", "html"])
     rows = picked.select("page_id", "url", F.col("html").cast("binary").alias("payload"))
     owner = originals(rows, base, min_revisit_bytes)
-    joined = rows.withColumns({"sha1": F.sha1("payload"), "n_bytes": F.octet_length("payload")}).join(owner, ["sha1", "n_bytes"], "left")
+    # Payloads that many pages share are dealt over SALTS keys, so none of them fills a task.
+    salted = owner.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keyed = rows.withColumns({"sha1": F.sha1("payload"), "n_bytes": F.octet_length("payload"), "salt": F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")})
+    joined = keyed.join(salted, ["sha1", "n_bytes", "salt"], "left")
     ready = joined.select("page_id", "url", "payload", F.when(F.col("original") != F.col("page_id"), F.col("original")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

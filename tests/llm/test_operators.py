@@ -472,14 +472,15 @@ OPERATORS = {
     "repeats": lambda s, d: substring_dedup.remove_repeats(d),
     "media": lambda s, d: media.store_and_read(d),
     "records": lambda s, d: token_records.read(token_records.write(d, storage.workspace(s, "t"), tokenizer_path("byte_bpe_50k.json"))),
-    "fingerprints": lambda s, d: fingerprints.with_neighbours(d.dropDuplicates()),
+    "fingerprints": lambda s, d: fingerprints.with_neighbours(d),
+    "classes": lambda s, d: fingerprints.with_classes(d),
     "model": lambda s, d: language_model.score(d.withColumn("held_out", F.lit(False))),
     "language": lambda s, d: language_id.predict(d, language_id.train(d)),
     "mixing": lambda s, d: mixing.mix(d, rounds=1),
     "sentencepiece": lambda s, d: sentencepiece.encode(d, tokenizer_path("piece_bpe_32k.model")),
     "warc": lambda s, d: warc.read(warc.write(storage.unclashed(d, "text").selectExpr("doc_id as page_id", "source as url", "text as html", "hit as payload"), storage.workspace(s, "t"))),
 }
-#: Operators that pass rows without an id through, and those that need one of each.
+#: Operators that pass rows without an id through.
 KEEP_NULL_IDS = {"language", "mixing", "sentencepiece"}
 
 
@@ -490,7 +491,107 @@ def test_empty_tables(spark, docs, name):
 
 @pytest.mark.parametrize("name", OPERATORS)
 def test_nulls_and_repeated_rows(spark, odd, name):
-    assert OPERATORS[name](spark, odd).count() == (2 if name == "fingerprints" else 4 if name in KEEP_NULL_IDS else 3)
+    assert OPERATORS[name](spark, odd).count() == (4 if name in KEEP_NULL_IDS else 3)
+
+
+@pytest.fixture(scope="module")
+def repeated(spark):
+    """Ids that stand for several texts, some of them the same or near, and long unbroken ones."""
+    rng = random.Random(12)
+    make = lambda n: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(n))
+    c, e, long = make(300), make(300), make(9000)
+    rows = [(3, c), (4, e), (7, c), (7, e), (7, long), (7, make(9000)), (8, long), (9, "x" * 200_000), (9, None), (9, "x" * 200_000), (10, make(50))]
+    return spark.createDataFrame([(i, t, "en", "s", 0, 0.5, "b", 1, "t", "o", 9) for i, t in rows], SCHEMA).repartition(3), rows
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_ids_with_several_texts(spark, repeated, name):
+    docs, rows = repeated
+    assert OPERATORS[name](spark, docs).count() == len(rows)
+
+
+def test_what_becomes_of_ids_with_several_texts(spark, repeated):
+    docs, rows = repeated
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs).collect())
+    same = {3: 3, 4: 3, 7: 3, 8: 3, 9: 9, 10: 10}  # 7 holds texts of 3, 4 and 8
+    assert got == sorted((d, len(brute.shingles(t)), same[d]) for d, t in rows)
+    stored = media.store_and_read(docs).collect()
+    assert Counter((r.doc_id, r.payload_sha256) for r in stored) == Counter((d, hashlib.sha256(media.padded((t or "").encode())).hexdigest()) for d, t in rows)
+    order = sorted(rows, key=lambda r: (r[0], zlib.crc32((r[1] or "").encode())))
+    for parts in ("1", "4"):  # several files may hold one id
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        read = token_records.read(token_records.write(docs, storage.workspace(spark, "t"), tokenizer_path("byte_bpe_50k.json"))).orderBy("start").collect()
+        whole, at = _byte_bpe(), 0
+        for r, (d, t) in zip(read, order):
+            ids = [*whole.encode(t or "", add_special_tokens=False).ids, 2]
+            assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+            at += len(ids)
+    order = sorted(rows, key=lambda r: (r[0], (r[1] or "").encode()))
+    want = Counter()
+    for k, (d, t) in enumerate(order):
+        t, nt = t or "", order[(k + 1) % len(order)][1] or ""
+        want[d, hashlib.sha256((t[: len(t) - len(t) // 4] + nt[: len(t) // 4]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in fingerprints.with_neighbours(docs).collect()) == want
+
+
+def test_fingerprints_are_minhashes(docs, rows):
+    a, b = (x.tolist() for x in fingerprints.permutations(fingerprints.PERMUTATIONS))
+    for r in fingerprints.with_neighbours(docs).collect():
+        text = dict(rows)[r.doc_id]
+        from metaladder.llm import textops as T
+
+        raw = (text or "").encode()
+        _, hashes = T.shingle_sets(T.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), lower=True), 5)
+        if len(raw) > 5000:
+            continue
+        plain = [min(((x * p + q) % (2**31 - 1) for x in (int(h) % (2**31 - 1) for h in hashes)), default=0xFFFF) & 0xFFFF for p, q in zip(a, b)]
+        assert r.fingerprint == "".join(f"{x:04x}" for x in plain)
+
+
+def test_windows_beyond_one_stretch(docs, rows, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "STRETCH", 64)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(docs).collect()}
+    assert got == brute.repeats(rows)
+
+
+def test_anchors_of_more_words_than_a_position_holds():
+    from types import SimpleNamespace
+
+    n = (1 << 24) + 100
+    words = SimpleNamespace(hash=np.random.default_rng(0).integers(0, 1 << 63, n, dtype=np.uint64), row=np.zeros(n, np.int8))
+    at, place, g = substring_dedup.anchors(words, 20, 6)
+    assert len(at) == n - 19 and ((place >= at) & (place <= at + 14)).all()
+    for k in [0, (1 << 22) - 1, 1 << 22, (1 << 24) + 50]:
+        assert g[place[k]] >> np.uint64(24) == (g[k : k + 15] >> np.uint64(24)).min()
+
+
+def test_language_scores_are_naive_bayes(spark):
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice(s) for _ in range(40)), s[:2]) for i in range(60) for s in ("abcde fg", "bcdxy zq")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    counts = {}
+    grams = lambda t, k: [int(language_id.hashed(np.array([ord(c) for c in f" {t} "[i : i + k]], np.uint32), k, language_id.BUCKETS)[0]) for i in range(len(t) + 3 - k)]
+    for _, t, lang in rows:
+        counts.setdefault(lang, Counter()).update(g for k in language_id.ORDERS for g in grams(t, k))
+    logs = lambda lang, t: sum(math.log((counts[lang][g] + language_id.SMOOTHING) / (sum(counts[lang].values()) + language_id.SMOOTHING * language_id.BUCKETS)) for k in language_id.ORDERS for g in grams(t, k))
+    for r in language_id.predict(docs, model).collect():
+        each = {lang: logs(lang, r.text) for lang in counts}
+        assert r.lang_pred == max(each, key=each.get) and abs(r.score - 1 / sum(math.exp(v - max(each.values())) for v in each.values())) < 1e-3
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 3)
+    docs = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(4)], "doc_id long, text string, lang string")
+    assert len(language_id.train(docs.limit(3)).languages) == 3
+    with pytest.raises(ValueError):
+        language_id.train(docs)
+
+
+def test_bloom_filter_keeps_every_id(spark):
+    texts = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    kept = {r.doc_id for r in near_dedup.narrowed(texts, spark.range(0, 5000, 50)).collect()}
+    assert kept >= set(range(0, 5000, 50)) and len(kept) < 110
 
 
 def test_automaton_finds_longest_matches():
@@ -524,6 +625,26 @@ def test_reference_passages_are_removed(spark, docs, rows):
         remove_reference(docs, spark.createDataFrame([("x " * 2_000_001,)], "text string"))
 
 
+def test_pipeline_stages_keep_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    make = lambda lang, n: " ".join(rng.choice(lang) + rng.choice("bcdfg") * rng.randint(1, 4) + rng.choice("aeiou") for _ in range(n))
+    stems = {"en": ["the", "hing"], "fr": ["le", "eaux"]}
+    clash = ["score", "lang_pred", "topic", "n_tokens", "probability", "selected", "n_removed", "kept_text", "left", "hit", "comp", "component_id", "kept", "ids", "mix_p", "text_hash"]
+    rows = [(i, make(stems[k], 80), k, "s", 7) for i, k in enumerate(["en", "fr"] * 10)] + [(None, make(stems["en"], 90), "en", "s", 7), (3, make(stems["en"], 70), "en", "s", 7)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select("*", *(F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in clash))
+    now = table
+    for name, stage in corpus_pipeline.STAGES:
+        before, now = now, storage.materialise(stage(spark, now, str(tmp_path)), f"file://{tmp_path}/clash", name)
+        assert stage(spark, before.limit(0), str(tmp_path)).count() == 0, name
+        if name != "sentencepiece":
+            assert now.columns == table.columns
+            assert all(r[c] == f"{c}-{'none' if r.doc_id is None else r.doc_id}" for r in now.collect() for c in clash), name
+        if name in ("near_dedup", "substring_dedup"):  # nothing here is near another or repeats
+            assert sorted((r.text, r.n_chars) for r in now.collect()) == sorted((t, n) for _, t, _, _, n in rows)
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     import corpus_pipeline
 
