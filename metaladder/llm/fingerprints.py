@@ -117,32 +117,37 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.binary()), ("bands", pa.list_(pa.int64()))])
     for whole in batches:
         for b in T.slices(whole, "text"):
-            prints = of_texts(*T.buffers(b.column("text")))
-            used = (prints != EMPTY).any(axis=1)
-            keys = near_dedup.band_keys(prints.astype(np.uint64), ROWS)
-            yield T.columns(schema, doc_id=b.column("doc_id"), fingerprint=[p.tobytes() for p in prints], bands=T.lists(keys[used].reshape(-1).view(np.int64), np.concatenate([[0], np.cumsum(used)]) * keys.shape[1], pa.int64()))
+            row, value = T.shingle_sets(T.Words(*T.buffers(b.column("text")), lower=True), SHINGLE)
+            sums = near_dedup.set_sums(row, value, b.num_rows)
+            keys = near_dedup.band_keys(minhash(row, value, b.num_rows).astype(np.uint64), ROWS)
+            used = sums["n_shingles"] > 0
+            yield T.columns(near_dedup.SIGNED, doc_id=b.column("doc_id"), **sums, bands=T.lists(keys[used].reshape(-1).view(np.int64), np.concatenate([[0], np.cumsum(used)]) * keys.shape[1], pa.int64()))
 
 
-def _linked(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _linked(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links ``a, b``, components ``node, component`` of representatives, members ``doc_id, rep``)."""
     base = storage.workspace(docs.sparkSession, "similar")
     texts = storage.pick(docs, "doc_id", "text")
-    banded = storage.materialise(texts.mapInArrow(_prints, "doc_id long, fingerprint binary, bands array<long>").select("doc_id", "bands"), base, "banded")
-    buckets = banded.select("doc_id", F.explode("bands").alias("bucket"))
-    links, found = near_dedup.linked(texts, buckets, base, SHINGLE, percent)
-    storage.drop(docs.sparkSession, f"{base}/banded")
-    return storage.materialise(links.distinct(), base, "similar", heavy=True), found
+    banded = storage.materialise(texts.mapInArrow(_prints, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), base, "banded")
+    members, several, buckets = near_dedup.grouped(banded, base)
+    links, found = near_dedup.linked(texts, buckets, base, SHINGLE, percent, several)
+    copies = members.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    links = storage.materialise(links.unionByName(copies).distinct(), base, "similar", heavy=True)
+    storage.drop(docs.sparkSession, f"{base}/banded", f"{base}/classes")
+    return links, found, members
 
 
 def similar(docs: DataFrame, *, percent: int = near_dedup.PERCENT) -> DataFrame:
     """``a, b`` with a < b: verified near pairs, enough of them to connect every class.
 
-    Members of a bucket (a band of ``ROWS`` components) meet its smallest and largest id, and
-    those of buckets that still hold several classes meet in an exact join; a pair is kept if
-    the Jaccard similarity of its full shingle sets is at least ``percent`` / 100. A pair at
-    0.75 shares none of the 21 bands with probability 1e-5. Texts without words have no partner.
+    Documents of one shingle set are linked with the smallest id among them, and these
+    representatives meet in bands: members of a bucket (a band of ``ROWS`` components) meet its
+    smallest and largest id, and those of buckets that still hold several classes meet in an
+    exact join; a pair is kept if the Jaccard similarity of its full shingle sets is at least
+    ``percent`` / 100. A pair at 0.75 shares none of the 21 bands with probability 1e-5. Texts
+    without words have no partner. Rows that repeat an id count as one document.
     """
     return _linked(docs, percent)[0]
 
@@ -151,7 +156,8 @@ def with_classes(docs: DataFrame, *, percent: int = near_dedup.PERCENT) -> DataF
     """``with_neighbours`` plus class_id, the smallest id of the near pairs' component, and
     n_links, the pairs of ``similar`` the document is in; its own id and 0 without a partner.
     Rows that repeat an id count as one document here."""
-    links, found = _linked(docs, percent)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = found.join(degree, "node").select(F.col("node").alias("doc_id"), F.col("component").alias("class_id"), "n_links")
+    links, found, members = _linked(docs, percent)
+    degree = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_links"))
+    named = members.join(found, members.rep == found.node, "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("class_id"))
+    classes = named.join(degree, "doc_id", "left")
     return with_neighbours(docs).join(classes.hint("merge"), "doc_id", "left").withColumns({"class_id": F.coalesce("class_id", "doc_id"), "n_links": F.coalesce("n_links", F.lit(0))})

@@ -73,14 +73,10 @@ def _signed(shingle: int, bins: int, rows: int):
             for b in T.slices(whole, "text"):
                 n = b.num_rows
                 row, value = T.shingle_sets(T.Words(*T.buffers(b.column("text")), lower=True), shingle)
-                at = np.searchsorted(row, np.arange(n + 1))
+                sums = set_sums(row, value, n)
                 key = band_keys(signatures(row, value, n, bins), rows)
-                used = np.diff(at) > 0
-                sums = [np.zeros(n, np.uint64), np.zeros(n, np.uint64)]
-                for k, salt in enumerate((0x1, 0x2F0E)):
-                    total = np.concatenate([[np.uint64(0)], np.cumsum(T.mix(value + np.uint64(salt)))])
-                    sums[k] = total[at[1:]] - total[at[:-1]]
-                yield T.columns(SIGNED, doc_id=b.column("doc_id"), n_shingles=np.diff(at), set_a=sums[0].view(np.int64), set_b=sums[1].view(np.int64), bands=T.lists(key[used].reshape(-1).view(np.int64), np.concatenate([[0], np.cumsum(used)]) * key.shape[1], pa.int64()))
+                used = sums["n_shingles"] > 0
+                yield T.columns(SIGNED, doc_id=b.column("doc_id"), **sums, bands=T.lists(key[used].reshape(-1).view(np.int64), np.concatenate([[0], np.cumsum(used)]) * key.shape[1], pa.int64()))
 
     return run
 
@@ -199,7 +195,8 @@ def confirmed(texts: DataFrame, pairs: DataFrame, base: str, shingle: int, perce
     """The pairs whose full shingle sets are near enough; only candidates' texts are moved."""
     # Merge joins at every size: what is small here grows with the corpus.
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = narrowed(texts, ends).withColumnRenamed("doc_id", "id").join(ends.hint("merge"), "id", "left_semi")
+    # An inner join, for a semi join would be pushed below the filter.
+    wanted = narrowed(texts, ends).withColumnRenamed("doc_id", "id").join(ends.hint("merge"), "id")
     sets = storage.materialise(wanted.mapInArrow(_sets(shingle), "id long, items binary").distinct(), base, "sets", heavy=True)
     sets_a, sets_b = (sets.select(F.col("id").alias(x), F.col("items").alias(f"items_{x}")).hint("merge") for x in "ab")
     met = pairs.join(sets_b, "b").join(sets_a, "a")
@@ -232,6 +229,32 @@ def linked(texts: DataFrame, buckets: DataFrame, base: str, shingle: int, percen
     return links.union(more), storage.materialise(connected_components(settled.union(more), again), again, "components")
 
 
+def set_sums(row: np.ndarray, value: np.ndarray, n: int) -> dict[str, np.ndarray]:
+    """n_shingles, set_a, set_b of n sets given as (row, hash) pairs: two sums that tell sets apart."""
+    at = np.searchsorted(row, np.arange(n + 1))
+    out = {"n_shingles": np.diff(at)}
+    for name, salt in (("set_a", 0x1), ("set_b", 0x2F0E)):
+        total = np.concatenate([[np.uint64(0)], np.cumsum(T.mix(value + np.uint64(salt)))])
+        out[name] = (total[at[1:]] - total[at[:-1]]).view(np.int64)
+    return out
+
+
+def grouped(signed: DataFrame, base: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What equal sets make of ``signed`` (doc_id, n_shingles, set_a, set_b, bands).
+
+    (``doc_id, rep``: every document with shingles and the smallest id of its set;
+    ``a, b``: links between the representatives of an id that has several texts, for they
+    belong together; ``doc_id, bucket`` of the representatives).
+    """
+    key = ["set_a", "set_b", "n_shingles"]
+    full = signed.filter("n_shingles > 0")
+    classes = storage.materialise(full.groupBy(*key).agg(F.min("doc_id").alias("rep")), base, "classes")
+    members = storage.materialise(full.select("doc_id", *key).join(classes, key).select("doc_id", "rep").distinct(), base, "members")
+    several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last"), F.collect_set("rep").alias("reps")).filter("a < last").select("a", F.explode("reps").alias("b")).filter("a < b").distinct()
+    heads = full.join(members.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
+    return members, several, heads.select("doc_id", F.explode("bands").alias("bucket"))
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, bins: int = BINS, rows: int = ROWS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (doc_id, text).
 
@@ -249,15 +272,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     base = storage.workspace(docs.sparkSession, "near")
     texts = storage.pick(docs, "doc_id", "text")
     signed = storage.materialise(texts.mapInArrow(_signed(shingle, bins, rows), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), base, "signed")
-    key = ["set_a", "set_b", "n_shingles"]
-    full = signed.filter("n_shingles > 0")
-    classes = storage.materialise(full.groupBy(*key).agg(F.min("doc_id").alias("rep")), base, "classes")
-    members = storage.materialise(full.select("doc_id", *key).join(classes, key).select("doc_id", "rep").distinct(), base, "members")
-    # The classes of an id that has several texts belong together.
-    several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last"), F.collect_set("rep").alias("reps")).filter("a < last").select("a", F.explode("reps").alias("b")).filter("a < b").distinct()
-
-    heads = full.join(members.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
-    buckets = heads.select("doc_id", F.explode("bands").alias("bucket"))
+    members, several, buckets = grouped(signed, base)
     _, found = linked(texts, buckets, base, shingle, percent, several)
     named = members.join(found, members.rep == found.node, "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     return signed.select("doc_id", "n_shingles").join(named, "doc_id", "left").select(
