@@ -48,7 +48,7 @@ def main(argv: list[str] | None = None, spark=None) -> None:
     if args.command == "build":
         tournaments.load(spark, args.root, RuleSet.read(args.rules, args.format), args.format).write(args.tables)
         return
-    tables = Tables.read(spark, args.tables)
+    tables = Tables.read(spark, args.tables)  # what ``build`` wrote
     if args.command == "dashboard":
         reports.write_payload(reports.payload(tables, bootstrap=args.bootstrap), args.out)
         return

@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import labels, paired
 from ..functions.intervals import with_interval
 from ..lineage import cut
 from ..operators import cards, decisions, field, filters, metagame, ratings
@@ -113,7 +114,9 @@ def payload(tables: Tables, scopes: Mapping = filters.SCOPES, periods: Sequence[
     perf = with_interval(filters.cells(nm, last, periods, scopes).groupBy(*cell, "archetype").agg(*metagame.record()))
     summary = share.join(perf, [*cell, "archetype"], "left").fillna(0, ["matches"]).collect()
     mu = with_interval(filters.cells(filters.known_opponent(nm), last, periods, scopes).groupBy(*cell, "archetype", "opp_archetype").agg(*metagame.record())).collect()
-    out: dict = {"end": str(end), "cells": {}, "colors": {r.archetype: r.color for r in metagame.modal(tables.decks, "archetype", "color").collect()}}
+    methods = {"lookback_days": ratings.LOOKBACK_DAYS, "half_life_days": labels.HALF_LIFE_DAYS, "deck_penalty": paired.DECK_PENALTY, "penalty_grid": list(ratings.GRID), "folds": ratings.FOLDS, "bootstrap": bootstrap, "slope_penalty": ratings.SLOPE_PENALTY, "skill_matches": SKILL_MATCHES}
+    thresholds = {"lists": decisions.MIN_LISTS, "core": decisions.CORE, "option": decisions.MIN_OPTION, "opponent_matches": decisions.MU_MIN_MATCHES, "play_rate": MIN_PLAY, "card_archetypes": CARD_ARCHETYPES, "archetypes": archetypes}
+    out: dict = {"end": str(end), "methods": methods, "thresholds": thresholds, "scopes": {n: sorted(s) if s else None for n, s in scopes.items()}, "cells": {}, "colors": {r.archetype: r.color for r in metagame.modal(tables.decks, "archetype", "color").collect()}}
     for scope in scopes:
         pilot = pilot_of(tables, str(end), scope, scopes, since=str(tables.decks.select(F.date_sub(last, max(periods) - 1)).first()[0]), bootstrap=bootstrap)
         for days in periods:
@@ -139,6 +142,10 @@ def payload(tables: Tables, scopes: Mapping = filters.SCOPES, periods: Sequence[
 def _builds(t: Tables) -> dict:
     lists = t.decks.filter(F.col("archetype") != UNKNOWN).select(F.col("archetype").alias("group"), "deck_id")
     out: dict = {}
+    big = [r.group for r in decisions.sizes(lists).filter(F.col("lists") >= decisions.MIN_LISTS).collect()]  # archetypes
+    if not big:
+        return out
+    lists = lists.filter(F.col("group").isin(*big))
     for board, size in decisions.SIZES.items():
         found, _ = builds(lists, decisions.copies(lists, t.deck_cards, board), size)
         for r in found.collect():

@@ -44,6 +44,7 @@ def test_formats():
 
 def test_payload_names_no_player(event):  # noqa: F811
     data = reports.payload(event, periods=(300,), bootstrap=2)
+    assert data["methods"]["bootstrap"] == 2 and data["scopes"]["combined"] is None
     assert set(data["cells"]) == {"300/online", "300/paper", "300/combined"}
     cell = data["cells"]["300/combined"]
     assert {r["archetype"] for r in cell["summary"]} <= {r.archetype for r in event.decks.collect()} and cell["summary"]
